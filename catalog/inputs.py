@@ -4,9 +4,31 @@ The ``*_SQL`` constants run unchanged in Spark SQL and in DuckDB; only the table
 differ. No given table has a crawl or a fetch time, so both are computed from the ids.
 """
 
+import gzip
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.defaults import CRAWLS
+from corpuslens.functions.topics import dominant_topic
+from corpuslens.functions.urls import crawl_month
+from corpuslens.operators.clusters import domain_features
+from corpuslens.operators.ideology import (
+    build_panel,
+    composite_ideology,
+    ideology_panel,
+    join_scores,
+    score_topics,
+)
+from corpuslens.operators.sentiment import lexicon_table, score_documents
+from corpuslens.plans.corpus import build_corpus
+from corpuslens.schemas import CRAWL_INDEX
+from corpuslens.sources.archive import open_store
+from corpuslens.sources.stages import read_stage, shared_dir, write_stage
+
 
 def crawl_of(n: str) -> str:
     return (
@@ -82,3 +104,116 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted pages: documents with the word count taken at extraction."""
     d = docs(spark, sf_dir)
     return d.withColumn("word_count", F.size(F.split("text", r"\s+")))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl index without record locations."""
+    columns = [
+        "url", "fetch_time", "concat('part-', cast(page_id % 4 AS string), '.warc') AS warc_filename",
+        "cast(NULL AS bigint) AS warc_record_offset", "cast(NULL AS bigint) AS warc_record_length",
+        "CASE WHEN page_id % 10 = 0 THEN 'application/pdf' ELSE 'text/html' END AS content_mime_detected", "crawl",
+    ]
+    return pages(spark, sf_dir).selectExpr(*columns)
+
+
+def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Archive files made from ``pages`` in a shared folder: (index with record locations, folder).
+
+    Every task writes one file of its own; every second record is a gzip member.
+    """
+    root = shared_dir(spark, "archive")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_store(root)
+        store.create_dir(base, recursive=True)
+        name, at = f"part-{uuid.uuid4().hex}.warc", 0
+        with store.open_output_stream(f"{base}/{name}") as out:
+            for rows in batches:
+                raws = [
+                    gzip.compress(r.raw.encode()) if r.page_id % 2 == 0 else r.raw.encode()
+                    for r in rows.itertuples(index=False)
+                ]
+                sizes = pd.Series([len(r) for r in raws], dtype="int64")
+                out.write(b"".join(raws))
+                yield pd.DataFrame({
+                    "url": rows["url"], "fetch_time": rows["fetch_time"], "warc_filename": name,
+                    "warc_record_offset": at + sizes.cumsum() - sizes, "warc_record_length": sizes,
+                    "content_mime_detected": rows["page_id"].mod(10).eq(0).map(
+                        {True: "application/pdf", False: "text/html"}
+                    ),
+                    "crawl": rows["crawl"],
+                })
+                at += int(sizes.sum())
+
+    # Stored, so that every file is written once whatever is done with the index.
+    located = records(spark, sf_dir).mapInPandas(write, CRAWL_INDEX)
+    path = shared_dir(spark, "index")
+    write_stage(located, path)
+    return read_stage(spark, path, CRAWL_INDEX), root
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a stage table, as later stages get it, so that several readers compute it once."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    write_stage(df, path)
+    return spark.read.parquet(path)
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return lexicon_table(spark, TERMS)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_corpus(clean_pages(spark, sf_dir))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(corpus(spark, sf_dir), lexicon(spark), LEFT, RIGHT, NEGATORS, BOOSTERS)
+
+
+def doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic mixes from the embeddings: 64 unnormalised shares per document."""
+    shares = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS doc_id", "transform(embedding, x -> cast(abs(x) AS double)) AS topic_dist_arr"
+    )
+    known = docs(spark, sf_dir).select("doc_id", "url", "domain", "crawl")
+    joined = known.join(shares, "doc_id").withColumn("year_month", crawl_month(F.col("crawl")))
+    return joined.withColumn("dominant_topic", dominant_topic(F.col("topic_dist_arr"))).drop("crawl")
+
+
+LABELS = {i: -1 + 2 * i / 63 for i in range(64)}
+PANEL_DOCS, DOMAIN_DOCS, VIEW_DOCS = 2, 10, 15
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = join_scores(score_topics(doc_topics(spark, sf_dir), LABELS), scored(spark, sf_dir))
+    return composite_ideology(both)
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ideology_panel(joined(spark, sf_dir), PANEL_DOCS)
+
+
+def panels_by_crawl(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    whole = stored(panel(spark, sf_dir), "panel")
+    return {c: whole.filter(F.col("year_month") == crawl_month(F.lit(c))) for c in CRAWLS}
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain_features(panel(spark, sf_dir), DOMAIN_DOCS)
+
+
+CLUSTER = "cast(substring(domain, 4, instr(domain, '.') - 4) AS int) % 5 AS cluster"
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed assignment of the domains, so that results do not depend on K-means."""
+    return features(spark, sf_dir).selectExpr("*", CLUSTER)
+
+
+def crawl_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_crawl = domain_features(
+        build_panel(panels_by_crawl(spark, sf_dir)), PANEL_DOCS, by=("crawl", "domain")
+    )
+    return by_crawl.selectExpr("*", CLUSTER)

@@ -115,6 +115,11 @@ def _valence_columns(negators: list[str], boosters: Mapping[str, float]) -> list
     return steps
 
 
+def _total(values: Column) -> Column:
+    """Sum without the noise of its order, which must not decide the sign of a balanced text."""
+    return F.round(F.coalesce(F.sum(values), F.lit(0.0)), 9)
+
+
 def lexicon_sentiment(
     docs: DataFrame,
     lexicon: DataFrame,
@@ -165,9 +170,9 @@ def lexicon_sentiment(
 
     v = F.col("v")
     sums = scored.groupBy("_doc", "_n", "_amp", *kept).agg(
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("_sum"),
-        F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("_up"),
-        F.coalesce(F.sum(F.when(v < 0, 1 - v)), F.lit(0.0)).alias("_down"),
+        _total(v).alias("_sum"),
+        _total(F.when(v > 0, v + 1)).alias("_up"),
+        _total(F.when(v < 0, 1 - v)).alias("_down"),
         F.count(F.when(v != 0, True)).alias("_marked"),
     )
     amp, total = F.col("_amp"), F.col("_sum")

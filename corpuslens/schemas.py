@@ -4,8 +4,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "array<double>": T.ArrayType(T.DoubleType()),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    # StructType.fromDDL would need a running session at import.
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 CRAWL_INDEX = _schema(

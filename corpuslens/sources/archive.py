@@ -26,6 +26,13 @@ def _inflate(data: bytes) -> bytes:
         return data
 
 
+def open_store(root: str) -> tuple[fs.FileSystem, str]:
+    """Arrow file system and path of a folder given as a path or URI."""
+    if root.startswith("file:/") and not root.startswith("file://"):
+        root = root[len("file:"):]
+    return fs.FileSystem.from_uri(root)
+
+
 def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
     """Read the byte range of every manifest row from the archive files under ``root``.
 
@@ -37,7 +44,7 @@ def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None) -> D
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log = logging.getLogger("corpuslens.archive")
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = open_store(root)
         opened: tuple[str, object] | None = None
         for rows in batches:
             raws = []
