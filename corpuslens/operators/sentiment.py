@@ -28,6 +28,9 @@ QUESTION, MAX_QUESTIONS, MANY_QUESTIONS = 0.18, 3, 0.96
 NORM_ALPHA = 15
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+# About 50 MB in an executor; published lexicons have some ten thousand terms.
+MAX_BROADCAST_TERMS = 500_000
+
 BOOSTERS = dict.fromkeys(AMPLIFIERS, BOOST) | dict.fromkeys(DAMPENERS, -BOOST)
 
 
@@ -35,6 +38,11 @@ def lexicon_table(spark: SparkSession, terms: Mapping[str, float]) -> DataFrame:
     return spark.createDataFrame([(t, float(v)) for t, v in terms.items()], "term string, valence double")
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """The table marked for broadcast if it is counted to be small, else as it is."""
+    return F.broadcast(table) if table.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS else table
+
+
 def _words(text: Column) -> Column:
     """Words of a lower-cased text; outer punctuation goes unless two or fewer characters remain."""
     tokens = F.filter(F.split(plain_spaces(F.lower(text)), r"[\s\x1c-\x1f]+"), lambda w: w != "")
@@ -131,37 +139,40 @@ def lexicon_sentiment(
     """``docs`` without the text, plus ``sentiment_compound, _pos, _neg, _neu``.
 
     ``lexicon`` has one row (term, valence) per term. Scored words are found by a join of the
-    words of each text with the lexicon; Spark broadcasts a lexicon below its size threshold
-    and shuffles a larger one. The words are summed up in their own map task first, so one
-    narrow row per text is shuffled. Rules for capitals, emoji and idioms are left out.
+    words of each text with the lexicon, which is broadcast after its rows were counted; one
+    that is too large for that is shuffled. The words of a text are summed up in their map
+    task, so one narrow row per text is shuffled. Rules for capitals, emoji and idioms are left out.
     ``max_chars=None`` scores whole texts.
     """
     require_columns(docs, text_col)
     require_columns(lexicon, "term", "valence")
     negators = list(negators)
+    lexicon = _sized(lexicon.select("term", "valence"))
     kept = [c for c in docs.columns if c != text_col]
     text = head(F.coalesce(F.col(text_col), F.lit("")), max_chars)
     prepared = docs.select(
         *kept, F.monotonically_increasing_id().alias("_doc"), _words(text).alias("_words"), _emphasis(text).alias("_amp")
     )
-    words = F.col("_words")
-
-    def context(word: Column, i: Column) -> Column:
-        near = {"p1": -1, "p2": -2, "p3": -3, "next": 1}
-        return F.struct(
-            (i + 1).alias("i"), word.alias("w"), *[F.get(words, i + d).alias(n) for n, d in near.items()]
-        )
-
-    # One row without a word stands for the text itself, so that texts without hits stay.
-    itself = F.struct(F.lit(0).alias("i"), *[F.lit(None).cast("string").alias(n) for n in ("w", "p1", "p2", "p3", "next")])
-    rows = prepared.select(
-        *kept, "_doc", "_amp",
-        F.size(words).alias("_n"),
-        F.array_position(words, F.lit("but")).alias("but"),
-        F.inline(F.concat(F.array(itself), F.transform(words, context))),
+    words, n = F.col("_words"), F.col("_n")
+    counted = prepared.withColumns({"_n": F.size(words), "but": F.array_position(words, F.lit("but"))})
+    # The word list next to itself, shifted: each row is a word with its neighbours. Shifting adds
+    # rows behind the last word; the first of them stands for the text itself, so that texts
+    # without hits stay.
+    none = F.lit(None).cast("string")
+    near = F.arrays_zip(
+        words.alias("w"),
+        F.concat(F.array(none), words).alias("p1"),
+        F.concat(F.array(none, none), words).alias("p2"),
+        F.concat(F.array(none, none, none), words).alias("p3"),
+        F.slice(words, 2, F.greatest(n - 1, F.lit(0))).alias("next"),
+    )
+    rows = counted.select(*kept, "_doc", "_amp", "_n", "but", F.posexplode(near).alias("_pos", "_near"))
+    rows = rows.select(
+        *kept, "_doc", "_amp", "_n", "but", (F.col("_pos") + 1).alias("i"),
+        *[F.col("_near")[name].alias(name) for name in ("w", "p1", "p2", "p3", "next")],
     )
     hits = rows.join(lexicon.select(F.col("term").alias("w"), "valence"), "w", "left")
-    hits = hits.filter(F.col("valence").isNotNull() | (F.col("i") == 0))
+    hits = hits.filter(F.col("valence").isNotNull() | (F.col("i") == F.col("_n") + 1))
     known = lexicon.select(F.col("term").alias("_term"), F.lit(True).alias("_known"))
     for near, flag in (("p1", "in_1"), ("p2", "in_2"), ("p3", "in_3"), ("next", "in_next")):
         found = known.select(F.col("_term").alias(near), F.col("_known").alias(flag))
