@@ -43,6 +43,13 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS else table
 
 
+def _look_up(rows: DataFrame, lexicon: DataFrame, word: str, name: str) -> DataFrame:
+    """Adds the valence of a word as ``name``; all look-ups read the same two columns and share one broadcast."""
+    terms = lexicon.alias(name)
+    found = rows.join(terms, F.col(word) == F.col(f"{name}.term"), "left")
+    return found.select(*rows.columns, F.col(f"{name}.valence").alias(name))
+
+
 def _words(text: Column) -> Column:
     """Words of a lower-cased text; outer punctuation goes unless two or fewer characters remain."""
     tokens = F.filter(F.split(plain_spaces(F.lower(text)), r"[\s\x1c-\x1f]+"), lambda w: w != "")
@@ -90,7 +97,7 @@ def _valence_columns(negators: list[str], boosters: Mapping[str, float]) -> list
     ``in_next`` tell whether those are lexicon terms.
     """
     w, p1, p2, p3 = (F.col(c) for c in ("w", "p1", "p2", "p3"))
-    base = F.col("valence")
+    base = F.col("base")
     after_no = (
         _is(p1, "no") | _is(p2, "no") | (_is(p3, "no") & _is(p1, "or", "nor"))
     )
@@ -109,7 +116,7 @@ def _valence_columns(negators: list[str], boosters: Mapping[str, float]) -> list
     ]
     for prior, known, damping, factor in zip((p1, p2, p3), ("in_1", "in_2", "in_3"), DISTANCE_DAMPING, factors):
         v = F.col("v")
-        boost = F.when(v < 0, -_boost(prior, boosters)).otherwise(_boost(prior, boosters)) * damping
+        boost = _boost(prior, boosters) * F.when(v < 0, -damping).otherwise(damping)
         moved = (v + boost) * F.coalesce(factor, F.lit(1.0))
         steps.append({"v": F.when(prior.isNotNull() & ~F.col(known), moved).otherwise(v)})
     least = _is(p1, "least") & ~F.col("in_1") & ~_is(p2, "at", "very")
@@ -171,12 +178,10 @@ def lexicon_sentiment(
         *kept, "_doc", "_amp", "_n", "but", (F.col("_pos") + 1).alias("i"),
         *[F.col("_near")[name].alias(name) for name in ("w", "p1", "p2", "p3", "next")],
     )
-    hits = rows.join(lexicon.select(F.col("term").alias("w"), "valence"), "w", "left")
-    hits = hits.filter(F.col("valence").isNotNull() | (F.col("i") == F.col("_n") + 1))
-    known = lexicon.select(F.col("term").alias("_term"), F.lit(True).alias("_known"))
-    for near, flag in (("p1", "in_1"), ("p2", "in_2"), ("p3", "in_3"), ("next", "in_next")):
-        found = known.select(F.col("_term").alias(near), F.col("_known").alias(flag))
-        hits = hits.join(found, near, "left").withColumn(flag, F.col(flag).isNotNull())
+    hits = _look_up(rows, lexicon, "w", "base")
+    hits = hits.filter(F.col("base").isNotNull() | (F.col("i") == F.col("_n") + 1))
+    for near_word, flag in (("p1", "in_1"), ("p2", "in_2"), ("p3", "in_3"), ("next", "in_next")):
+        hits = _look_up(hits, lexicon, near_word, flag).withColumn(flag, F.col(flag).isNotNull())
     scored = reduce(DataFrame.withColumns, _valence_columns(negators, boosters), hits)
 
     v = F.col("v")
