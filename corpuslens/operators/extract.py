@@ -23,11 +23,14 @@ from corpuslens.schemas import require_columns
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-# Elements that end an open paragraph, and that an inline end tag does not reach across.
-_BLOCKS = frozenset(
-    "address article aside blockquote body dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split()
+# Elements whose start ends an open paragraph. Sectioning elements do not, as in the HTML 4
+# rules of the usual tree parsers.
+_PARAGRAPH_ENDS = frozenset(
+    "address blockquote body dd div dl dt fieldset form h1 h2 h3 h4 h5 h6 hr li ol p pre table tbody td tfoot "
+    "th thead tr ul".split()
 )
+# Elements that an inline end tag does not reach across.
+_BLOCKS = _PARAGRAPH_ENDS | frozenset("article aside figure footer header html main nav section".split())
 _RANKS = ("article", "main", "div", "body")
 
 
@@ -70,7 +73,7 @@ class _MainText(HTMLParser):
         self._flush()
         if tag in _VOID:
             return
-        if tag in _BLOCKS:
+        if tag in _PARAGRAPH_ENDS:
             self._close_implied(tag)
         self.hidden += tag in BOILERPLATE_TAGS
         block = container = None
