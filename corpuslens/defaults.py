@@ -134,5 +134,5 @@ VOCAB_SIZE = 20_000
 MIN_DOC_FREQ = 5
 TOP_TERMS = 20
 RECORDS_PER_TASK = 100
-MIN_FETCH_TASKS = 500
+MAX_FETCH_TASKS = 100_000
 SEED = 42

@@ -30,6 +30,7 @@ def build_corpus(
     Copies by URL go first, then copies by text, then texts by language and length. Which
     copies stay is decided on fingerprints alone. The language and length filters do not
     change that choice, so they run before the texts are shuffled, which happens once.
+    ``pages`` is read twice: give it as a stored table.
     """
     require_columns(pages, "url", "crawl", "fetch_time", "text")
     survivors = earliest(

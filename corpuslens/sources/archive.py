@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import schemas
-from corpuslens.defaults import MAX_HTML_CHARS
+from corpuslens.defaults import MAX_FETCH_TASKS, MAX_HTML_CHARS, RECORDS_PER_TASK
 
 RAW_RECORD = (
     "url string, crawl string, fetch_time string, warc_filename string, warc_offset bigint, raw binary"
@@ -37,8 +37,10 @@ def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None) -> D
     """Read the byte range of every manifest row from the archive files under ``root``.
 
     ``root`` is a mounted folder or any file-system URI that Arrow reads by range. Rows are
-    spread by file and a slice of the offset range, so no task depends on how many records one file holds, and a task
-    reads its slices in ascending order. A row that cannot be read is logged and left out.
+    spread by file and slice of 4 MiB over tasks of about ``RECORDS_PER_TASK`` records, however
+    many one file holds, and a task reads in ascending order. The number of tasks is set here,
+    since the manifest is small in bytes and would otherwise be coalesced into a few tasks. A
+    row that cannot be read is logged and left out.
     """
     schemas.require_columns(manifest, *schemas.SEGMENTS.fieldNames())
 
@@ -68,10 +70,11 @@ def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None) -> D
         "url", "crawl", F.col("fetch_time").cast("string").alias("fetch_time"), "warc_filename",
         "warc_record_offset", "warc_record_length",
     )
-    # 64 MiB slices: neighbouring records share a task, one big file does not become one task.
-    slices = (F.col("warc_record_offset") / F.lit(64 * 1024 * 1024)).cast("bigint")
-    keys = [F.col("warc_filename"), slices]
-    spread = wanted.repartition(tasks, *keys) if tasks else wanted.repartition(*keys)
+    if tasks is None:
+        cores = manifest.sparkSession.sparkContext.defaultParallelism
+        tasks = min(max(cores, manifest.count() // RECORDS_PER_TASK), MAX_FETCH_TASKS)
+    slices = (F.col("warc_record_offset") / F.lit(4 * 1024 * 1024)).cast("bigint")
+    spread = wanted.repartition(tasks, F.col("warc_filename"), slices)
     return spread.sortWithinPartitions("warc_filename", "warc_record_offset").mapInPandas(read, RAW_RECORD)
 
 
