@@ -418,6 +418,7 @@ def rank_weights(spark, sf_dir):
     """Display weights of the twenty most frequent terms of each language."""
     source = I.table(spark, sf_dir, "documents").select("lang", "text")
     counts = TM.term_counts(TM.remove_stop_words(TM.tokens(source)), "lang")
+    counts = counts.groupBy("lang", "term").agg(F.sum("tf").alias("tf"))
     order = Window.partitionBy("lang").orderBy(F.desc("tf"), "term")
     ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 20)
     return rounded(TM.rank_weights(M.topic_term_lists(ranked.withColumnRenamed("lang", "topic"))))

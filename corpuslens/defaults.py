@@ -134,5 +134,10 @@ VOCAB_SIZE = 20_000
 MIN_DOC_FREQ = 5
 TOP_TERMS = 20
 RECORDS_PER_TASK = 100
-MAX_FETCH_TASKS = 100_000
 SEED = 42
+
+# --- own choices ------------------------------------------------------------
+
+# About 50 MB in an executor; published lexicons have some ten thousand terms.
+MAX_BROADCAST_TERMS = 500_000
+MAX_FETCH_TASKS = 100_000

@@ -11,6 +11,7 @@ from corpuslens.defaults import (
     BOOST,
     DAMPENERS,
     LEFT_PHRASES,
+    MAX_BROADCAST_TERMS,
     NEGATORS,
     RIGHT_PHRASES,
     SENTIMENT_CHARS,
@@ -28,9 +29,6 @@ QUESTION, MAX_QUESTIONS, MANY_QUESTIONS = 0.18, 3, 0.96
 NORM_ALPHA = 15
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-# About 50 MB in an executor; published lexicons have some ten thousand terms.
-MAX_BROADCAST_TERMS = 500_000
-
 BOOSTERS = dict.fromkeys(AMPLIFIERS, BOOST) | dict.fromkeys(DAMPENERS, -BOOST)
 
 

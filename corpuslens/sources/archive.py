@@ -48,7 +48,8 @@ def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None) -> D
         log = logging.getLogger("corpuslens.archive")
         store, base = open_store(root)
         opened: tuple[str, object] | None = None
-        for rows in batches:
+        # Few records at a time, since one may be megabytes long.
+        for rows in (b[i:i + RECORDS_PER_TASK] for b in batches for i in range(0, len(b), RECORDS_PER_TASK)):
             raws = []
             for r in rows.itertuples(index=False):
                 try:
@@ -61,10 +62,8 @@ def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None) -> D
                 except Exception as e:
                     log.warning("skipped %s: %s", r.url, e)
                     raws.append(None)
-            out = rows.assign(raw=raws)
-            yield out[out["raw"].notna()].drop(columns="warc_record_length").rename(
-                columns={"warc_record_offset": "warc_offset"}
-            )[["url", "crawl", "fetch_time", "warc_filename", "warc_offset", "raw"]]
+            out = rows.rename(columns={"warc_record_offset": "warc_offset"}).assign(raw=raws)
+            yield out[out["raw"].notna()].drop(columns="warc_record_length")
 
     wanted = manifest.select(
         "url", "crawl", F.col("fetch_time").cast("string").alias("fetch_time"), "warc_filename",

@@ -9,6 +9,7 @@ from corpuslens.functions.topics import dominant_topic, topic_ideology
 from corpuslens.operators import ideology as G
 from corpuslens.operators import terms as TM
 from corpuslens.operators import topics as M
+from plans import plan
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +101,14 @@ def test_dominant_topic_is_the_first_maximum(spark):
 def test_topic_prevalence(spark):
     df = spark.createDataFrame([("m", [1.0, 0.0]), ("m", [0.5, 0.5])], "year_month string, topic_dist_arr array<double>")
     assert {(r.topic, r.avg_share) for r in M.topic_prevalence(df).collect()} == {(0, 0.75), (1, 0.25)}
+
+
+def test_counting_terms_needs_no_shuffle(corpus):
+    tokens = TM.tokens(corpus.select("url", "text"))
+    assert "Exchange" not in plan(TM.term_counts(tokens, "url")).split("InMemoryRelation")[0]
+    assert "BroadcastHashJoin" in plan(TM.tfidf(tokens, "url", vocab_size=100, min_df=2))
+    empty = tokens.withColumn("tokens", F.array().cast("array<string>"))
+    assert TM.term_counts(empty, "url").count() == 0
+    got = {(r.url, r.term): r.tf for r in TM.term_counts(tokens, "url").collect()}
+    want = {(r.url, w): n for r in tokens.collect() for w, n in Counter(r.tokens).items()}
+    assert got == want
