@@ -111,7 +111,9 @@ def score_ideology(
     spark: SparkSession, out: str, labels: DataFrame | Mapping[int, float], min_docs: int = 5, on: Iterable[str] = ("url",)
 ) -> dict[str, int]:
     """Document topics and sentiment to ideology by document and by domain and month."""
-    topics = spark.read.parquet(f"{out}/topics/doc_topics")
+    topics = schemas.require_columns(
+        spark.read.parquet(f"{out}/topics/doc_topics"), *schemas.DOC_TOPICS.fieldNames()
+    )
     sentiment = read_stage(spark, f"{out}/sentiment/by_document", schemas.DOC_SENTIMENT)
     joined = composite_ideology(join_scores(score_topics(topics, labels), sentiment, list(on)))
     by_document = [

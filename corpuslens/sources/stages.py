@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -89,7 +90,7 @@ def _crawl_dirs(spark: SparkSession, base: str, crawls: Iterable[str], suffix: s
         if p.getFileSystem(conf).exists(p):
             found[crawl] = path
         else:
-            print(f"warning: no data for crawl {crawl} at {path}")
+            warnings.warn(f"no data for crawl {crawl} at {path}", stacklevel=3)
     if not found:
         raise ValueError(f"no crawl data under {base}")
     return found
