@@ -1,12 +1,8 @@
 """DuckDB SQL with the same result as each registered query, over the same whole tables."""
 
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from catalog import inputs as I
 from catalog.queries import DIGITS
+from catalog.stopwords import ENGLISH
 from corpuslens.defaults import EXTRA_STOP_WORDS, FEATURES, FIVE_LABELS
 
 R = DIGITS
@@ -20,13 +16,6 @@ def _list(words) -> str:
     return "(" + ", ".join(_str(w) for w in words) + ")"
 
 
-def _english_stop_words() -> list[str]:
-    """The list that Spark ships, read without a session."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 # Scalar expressions
 
 
@@ -271,7 +260,7 @@ def extracted(n_chars: int | None) -> str:
 CTES["tokens"] = r"""
     SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 3) AS ws
     FROM documents"""
-_STOP = "[" + ", ".join(_str(w) for w in [*_english_stop_words(), *EXTRA_STOP_WORDS]) + "]"
+_STOP = "[" + ", ".join(_str(w) for w in [*ENGLISH, *EXTRA_STOP_WORDS]) + "]"
 CTES["kept_tokens"] = (
     f"SELECT doc_id, lang, list_filter(ws, lambda w: NOT list_contains({_STOP}, w)) AS ws FROM tokens"
 )

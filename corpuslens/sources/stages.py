@@ -1,6 +1,5 @@
 """Stage tables on shared storage: Parquet between stages, JSON and CSV for small results."""
 
-import tempfile
 import uuid
 import warnings
 from collections.abc import Iterable
@@ -15,13 +14,11 @@ from corpuslens import schemas
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the checkpoint folder of the cluster.
 
-    Only a local session without that setting gets a folder of this machine.
+    Without that setting the folder lies in the warehouse, the other place that all executors share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="run-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
