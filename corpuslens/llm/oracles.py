@@ -9,5 +9,53 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n"""
 
 
+# A run of ten words of a document that equals a window of an item hits its words.
+DECONTAMINATE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS size,
+    unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS win
+  FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS k,
+    unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS win
+  FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT doc_id, dw.size, k, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+pos AS (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS p FROM hits),
+n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, cast(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN i ON d.doc_id = i.doc_id"""
+
+# Targets by running levels; within a source the documents in the order of their Pareto ranks fill the rest.
+MIX = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, cast(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight, 3 * source_size AS bound FROM s),
+l AS (SELECT *, row_number() OVER o AS place,
+    (sum(source_size) OVER () * 1.0::DOUBLE - coalesce(sum(bound) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level
+  FROM w WINDOW o AS (ORDER BY bound / weight, source NULLS LAST),
+    b AS (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min(place) AS first FROM l WHERE bound >= level * weight),
+t AS (SELECT source, source_size,
+    CASE WHEN first IS NULL OR place < first THEN cast(bound AS DOUBLE)
+      ELSE (SELECT level FROM l, f WHERE place = first) * weight END AS target FROM l, f),
+c AS (SELECT doc_id, d.source, size, source_size, target,
+    CASE WHEN source_size > 0 THEN least(target / cast(source_size AS DOUBLE) * 1.0::DOUBLE, 3.0) ELSE 0.0::DOUBLE END AS copies,
+    (cast('0x' || substring(md5('mix:' || coalesce(cast(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, floor(copies)::BIGINT AS sure, copies - floor(copies) AS p FROM c),
+q AS (SELECT *, CASE WHEN p <= 0 THEN 1.0 ELSE ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS rank,
+    target - sum(sure * size) OVER (PARTITION BY source) AS rest FROM r),
+e AS (SELECT doc_id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= rest AS extra FROM q WHERE sure < 3 AND size > 0)
+SELECT q.doc_id, size, source_size, target, (sure + CASE WHEN extra THEN 1 ELSE 0 END) * size AS taken
+FROM q LEFT JOIN e ON q.doc_id = e.doc_id"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP}
+    return {"op6_exact_dedup": EXACT_DEDUP, "op7_decontaminate": DECONTAMINATE, "op10_mix": MIX}

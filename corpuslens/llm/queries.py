@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuslens.llm.decontaminate import leak_report
+from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.naming import exact_duplicates
 from corpuslens.llm.simhash import near_duplicates
 
@@ -18,4 +20,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_simhash, op6_exact_dedup)}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+LLM_QUERIES = {f.__name__: f for f in (op4_simhash, op6_exact_dedup, op7_decontaminate, op10_mix)}
