@@ -3,8 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm.decontaminate import leak_report
+from corpuslens.llm.language import identify_languages
 from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.naming import exact_duplicates
+from corpuslens.llm.quality import classify_quality
 from corpuslens.llm.simhash import near_duplicates
 
 
@@ -12,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,4 +38,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op4_simhash, op6_exact_dedup, op7_decontaminate, op10_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op1_quality, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op10_mix)}
