@@ -16,6 +16,10 @@ variants reach, a bucket being the value of some bits of the variant, and the va
 bucket are made there. Buckets that would hold too many variants are cut by further bits inside
 the task, so memory is bounded. Members of one colliding group are linked to one member that is
 near enough to all others, verified, and reduced to a forest, so no group emits all its pairs.
+
+Radius 3 is near: whole texts of which a tenth of the words differ are farther apart. So
+``near_copies``, which is to find texts of a given resemblance, gives each text several
+fingerprints, each of a few sampled shingles, and compares the shingles of texts that collide.
 """
 
 from collections.abc import Iterator
@@ -37,19 +41,27 @@ MOST_VARIANTS = 2_000_000
 MEAN_VARIANTS = 561
 
 
-def fingerprint(text: bytes, shingle_words: int) -> int:
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; of all the words if they are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
-    n = max(1, len(words) - shingle_words + 1)
+    n = max(1, len(words) - size + 1)
+    digest = xxhash.xxh64_intdigest
     if n == 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    stops = (ends[shingle_words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+    stops = (ends[size - 1 :] - 1).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set where they are in over half of the hashes; 0 for none."""
+    n = len(hashes)
+    if n <= 1:
+        return int(hashes[0]) if n else 0
     # Columns are summed as bytes in runs of 255 rows, which cannot overflow.
     padded = np.zeros(-(-n // 255) * 255, dtype="<u8")
     padded[:n] = hashes
@@ -58,6 +70,10 @@ def fingerprint(text: bytes, shingle_words: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle_words: int) -> int:
+    return majority(shingles(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of each whole text as a signed long; null and empty texts have 0."""
     kind = docs.schema[id_column].dataType
@@ -76,7 +92,7 @@ def _bits(k: int) -> list[int]:
     return [(i // 2) + 32 * (i % 2) for i in range(k)]
 
 
-def reach(fps: DataFrame, k: int) -> DataFrame:
+def reach(fps: DataFrame, k: int, radius: int = RADIUS) -> DataFrame:
     """(bucket, fp): each fingerprint once for each bucket of k bits that its variants reach."""
     bits = _bits(k)
 
@@ -87,7 +103,7 @@ def reach(fps: DataFrame, k: int) -> DataFrame:
     for i, b in enumerate(bits):
         own = own + shift(F.col("fp"), b) * (1 << i)
     one = [1 << i for i in range(k)]
-    two = [(1 << i) | (1 << j) for i in range(k) for j in range(i) if (i - j) % 2 == 0]
+    two = [(1 << i) | (1 << j) for i in range(k) for j in range(i) if (i - j) % 2 == 0] if radius > 2 else []
     odd, even = F.lit([0, *one]), F.lit([0, *one, *two])
     flips = F.when(F.bit_count("fp") % 2 == 1, odd).otherwise(even)
     return fps.select("fp", own.cast("int").alias("own"), F.explode(flips).alias("flip")).select(
@@ -103,12 +119,14 @@ def _pairs(bits: list[int]) -> np.ndarray:
     return np.array([(1 << a) | (1 << b) for a in bits for b in bits if a < b and a // 32 == b // 32], dtype=np.uint64)
 
 
-def links_of(fps: np.ndarray, used: np.ndarray, half: np.ndarray, free: list[int], most: int) -> Iterator[tuple]:
-    """Colliding pairs (a, b) among the variants that reach one bucket.
+def parts_of(
+    fps: np.ndarray, used: np.ndarray, half: np.ndarray, free: list[int], most: int, radius: int = RADIUS
+) -> Iterator[tuple]:
+    """The bucket, cut by further bits until each part has at most ``most`` variants.
 
     used: bits already flipped to reach it, half: of the flipped bit if there is one, free: bits not yet decided.
     """
-    odd = np.bitwise_count(fps) % 2 == 1
+    odd = (np.bitwise_count(fps) % 2 == 1) | (radius < 3)
     per = np.where(used == 0, 1 + len(free) + ~odd * (len(free) ** 2 // 4), 1 + ~odd * (used == 1) * (len(free) // 2))
     if per.sum() > most and len(free) > 2:
         b, rest = free[0], free[1:]
@@ -118,16 +136,17 @@ def links_of(fps: np.ndarray, used: np.ndarray, half: np.ndarray, free: list[int
             flip = bit != value
             go = ~flip | may
             now = np.where(flip & (used == 0), b // 32, half)
-            # The fingerprint keeps its own bits: what is flipped is remembered as its variant so far.
-            yield from links_of(fps[go], (used + flip)[go], now[go], rest, most)
+            yield from parts_of(fps[go], (used + flip)[go], now[go], rest, most, radius)
         return
     yield fps, used, half, free
 
 
-def collide(fps: np.ndarray, used: np.ndarray, half: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def collide(
+    fps: np.ndarray, used: np.ndarray, half: np.ndarray, free: list[int], radius: int = RADIUS
+) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints with a common variant in this bucket, each verified."""
     own = np.arange(len(fps), dtype=np.int32)
-    odd = np.bitwise_count(fps) % 2 == 1
+    odd = (np.bitwise_count(fps) % 2 == 1) | (radius < 3)
     variants, owners, firm = [], [], []
 
     def emit(who: np.ndarray, masks: np.ndarray, is_firm) -> None:
@@ -163,7 +182,7 @@ def collide(fps: np.ndarray, used: np.ndarray, half: np.ndarray, free: list[int]
     near = (size[group] > 1) & (first[group] >= 0)
     a, b = o[first[group[near]]], o[near]
     a, b = a[a != b], b[a != b]
-    ok = np.bitwise_count(fps[a] ^ fps[b]) <= RADIUS
+    ok = np.bitwise_count(fps[a] ^ fps[b]) <= radius
     return a[ok], b[ok]
 
 
@@ -184,13 +203,14 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def near_links(fps: DataFrame, most: int = MOST_VARIANTS) -> DataFrame:
-    """(u, v), u > v: links whose components are those of all fingerprints within the radius.
+def near_links(fps: DataFrame, most: int = MOST_VARIANTS, radius: int = RADIUS) -> DataFrame:
+    """(u, v), u > v: links whose components are those of all fingerprints within the radius, 2 or 3.
 
     fps: distinct fingerprints in column ``fp``. The number of buckets follows their number.
     """
     n = fps.count()
-    k = min(20, max(6, int(np.ceil(np.log2(max(1, n * MEAN_VARIANTS / most)))) + 1))
+    per = MEAN_VARIANTS if radius > 2 else 65
+    k = min(20, max(6, int(np.ceil(np.log2(max(1, n * per / most)))) + 1))
     bits = _bits(k)
     rest = [b for b in range(64) if b not in bits]
 
@@ -202,8 +222,8 @@ def near_links(fps: DataFrame, most: int = MOST_VARIANTS) -> DataFrame:
         used = np.bitwise_count(diff).astype(np.int64)
         half = (diff >= np.uint64(1 << 32)).astype(np.int64)
         us, vs = [], []
-        for part, u, h, free in links_of(found, used, half, rest, most):
-            a, b = collide(part, u, h, free)
+        for part, u, h, free in parts_of(found, used, half, rest, most, radius):
+            a, b = collide(part, u, h, free, radius)
             if len(a):
                 root = forest(a, b, len(part))
                 linked = np.flatnonzero(root != np.arange(len(part)))
@@ -214,7 +234,7 @@ def near_links(fps: DataFrame, most: int = MOST_VARIANTS) -> DataFrame:
         x, y = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
         return pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)})
 
-    found = reach(fps, k).groupBy("bucket").applyInPandas(run, "u bigint, v bigint")
+    found = reach(fps, k, radius).groupBy("bucket").applyInPandas(run, "u bigint, v bigint")
     return found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_n")).select("u", "v")
 
 
@@ -241,3 +261,74 @@ def near_duplicates(
     return each.join(final, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: For ``near_copies``: fingerprints per text, sampled shingles of each, and their radius.
+SKETCHES, SAMPLED, SKETCH_RADIUS = 8, 3, 2
+
+
+def sketches(text: bytes, shingle_words: int) -> list[int]:
+    """Fingerprints of the smallest shingle hashes of each of ``SKETCHES`` classes of hashes.
+
+    Texts with resemblance J agree in one of them with a probability of about J ** SAMPLED.
+    """
+    h = np.unique(shingles(text, shingle_words))
+    kind = h % np.uint64(SKETCHES)
+    return [majority(own[:SAMPLED]) for own in (h[kind == k] for k in range(SKETCHES)) if len(own)]
+
+
+def _same(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of the documents that have near copies, from (doc_id, text).
+
+    Documents link where at least ``similarity`` of their different word shingles are common,
+    which is computed exactly for the texts that collide. Of each group of colliding sketches all
+    members are compared with its smallest and its largest id. Texts without words and rows
+    without an id have no near copies.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sketches(t or b"", shingle_words) for t in b["text"].to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
+            fps = np.array([x for g in got for x in g], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), pa.array(fps)], ["doc_id", "fp"])
+
+    each = stored(read.mapInArrow(sketch, f"doc_id {id_type}, fp bigint"), "sketches")
+    fps = each.select("fp").distinct()
+    roots = connected_components(stored(near_links(stored(fps, "distinct"), radius=SKETCH_RADIUS), "links"))
+    group = each.join(roots, each["fp"] == roots["node"], "left").select("doc_id", F.coalesce("root", "fp").alias("group"))
+    group = stored(group, "groups")
+    ends = group.groupBy("group").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    ends = stored(ends.filter("low < high"), "ends")
+    member = group.join(ends, "group").select("doc_id", F.explode(F.array("low", "high")).alias("end")).filter("doc_id <> end")
+    pairs = member.select(F.greatest("doc_id", "end").alias("u"), F.least("doc_id", "end").alias("v")).distinct()
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(t or b"", shingle_words)).tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, pa.binary())], ["id", "shingles"])
+
+    few = read.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    known = stored(few.mapInArrow(sets, f"id {id_type}, shingles binary"), "shingles")
+    left = known.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
+    right = known.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [_same(x, y) >= similarity for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist())]
+            at = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([b["u"].take(at), b["v"].take(at)], ["u", "v"])
+
+    both = stored(pairs.join(left, "u"), "left").join(right, "v").select("u", "v", "a", "b")
+    links = stored(both.mapInArrow(compare, f"u {id_type}, v {id_type}"), "near")
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
