@@ -6,6 +6,7 @@ from corpuslens.llm.decontaminate import leak_report
 from corpuslens.llm.language import identify_languages
 from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.naming import exact_duplicates
+from corpuslens.llm.pages import extract_text
 from corpuslens.llm.quality import classify_quality
 from corpuslens.llm.simhash import near_duplicates
 
@@ -34,8 +35,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_quality, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op10_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op1_quality, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op9_extract, op10_mix)}
