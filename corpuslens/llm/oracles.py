@@ -1,5 +1,7 @@
 """DuckDB SQL with the same result as the registered queries, where SQL can express it."""
 
+from corpuslens.llm.revisits import RECORDS_SQL
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 EXACT_DEDUP = rf"""
@@ -57,5 +59,29 @@ SELECT q.doc_id, size, source_size, target, (sure + CASE WHEN extra THEN 1 ELSE
 FROM q LEFT JOIN e ON q.doc_id = e.doc_id"""
 
 
+REVISITS = rf"""
+WITH r AS ({RECORDS_SQL}),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_[a-z]+=[^&]*', '', 'g'), '^([^?&]*)&', '\1?') AS bare FROM r),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z]+://(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)?$', ''),
+    '^www\.', '') AS host, regexp_replace(regexp_extract(bare, '^[A-Za-z]+://[^/?]*(.*)$', 1), '/+(\?|$)', '\1', 'g') AS rest FROM b),
+k AS (SELECT *, CASE WHEN host <> '' THEN concat(host, rest) END AS canonical_url FROM c),
+f AS (SELECT canonical_url AS u, captured AS t, record_id AS response_id, etag AS e, modified AS m, length AS n FROM k
+  WHERE kind = 'response' QUALIFY row_number() OVER (PARTITION BY canonical_url, captured ORDER BY record_id DESC) = 1),
+j AS (SELECT k.*, f.* FROM k ASOF LEFT JOIN f ON k.canonical_url = f.u AND k.captured > f.t WHERE k.kind = 'revisit'),
+s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN coalesce(etag = e, modified = m) IS NULL THEN 'no_validator'
+    WHEN coalesce(etag = e, modified = m) THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
+SELECT record_id, url, canonical_url, captured, response_id, status,
+  concat_ws(chr(10), 'cache-control: max-age=600', 'content-length: ' || CASE WHEN status = 'resolved' THEN n ELSE length END,
+    CASE WHEN status = 'resolved' THEN 'content-type: text/html' END, 'date: ' || captured,
+    'etag: ' || CASE WHEN status = 'resolved' THEN coalesce(etag, e) ELSE etag END, 'expires: ' || (captured + 600),
+    'last-modified: ' || CASE WHEN status = 'resolved' THEN coalesce(modified, m) ELSE modified END) AS headers
+FROM s"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP, "op7_decontaminate": DECONTAMINATE, "op10_mix": MIX}
+    return {
+        "op2_revisits": REVISITS,
+        "op6_exact_dedup": EXACT_DEDUP,
+        "op7_decontaminate": DECONTAMINATE,
+        "op10_mix": MIX,
+    }

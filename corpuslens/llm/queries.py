@@ -8,6 +8,7 @@ from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.naming import exact_duplicates
 from corpuslens.llm.pages import extract_text
 from corpuslens.llm.quality import classify_quality
+from corpuslens.llm.revisits import header_lines, records_of_pages, resolve_revisits
 from corpuslens.llm.simhash import near_duplicates
 
 
@@ -19,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = records_of_pages(spark, table(spark, sf_dir, "pages"))
+    return resolve_revisits(records).withColumn("headers", header_lines("headers"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -43,4 +49,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_quality, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op9_extract, op10_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_revisits, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op9_extract, op10_mix)}
