@@ -7,6 +7,7 @@ from corpuslens.llm.language import identify_languages
 from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.naming import exact_duplicates
 from corpuslens.llm.pages import extract_text
+from corpuslens.llm.passages import shared_passages
 from corpuslens.llm.quality import classify_quality
 from corpuslens.llm.revisits import header_lines, records_of_pages, resolve_revisits
 from corpuslens.llm.simhash import near_duplicates
@@ -41,6 +42,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -49,4 +54,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_revisits, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op9_extract, op10_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_revisits, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op8_passages, op9_extract, op10_mix)}
