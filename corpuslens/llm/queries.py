@@ -10,6 +10,7 @@ from corpuslens.llm.pages import extract_text
 from corpuslens.llm.passages import shared_passages
 from corpuslens.llm.quality import classify_quality
 from corpuslens.llm.revisits import header_lines, records_of_pages, resolve_revisits
+from corpuslens.llm.scoring import score_texts
 from corpuslens.llm.simhash import near_duplicates
 
 
@@ -34,6 +35,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,4 +59,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_revisits, op3_language, op4_simhash, op6_exact_dedup, op7_decontaminate, op8_passages, op9_extract, op10_mix)}
+LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_revisits, op3_language, op4_simhash, op5_lm_score, op6_exact_dedup, op7_decontaminate, op8_passages, op9_extract, op10_mix)}
