@@ -84,20 +84,8 @@ BOOSTERS = {"by": 0.293, "in": 0.293, "de": -0.293}
 DOMAIN_LIST = ["src1.example.com", "src2.example.com", "example.org"]
 
 
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table lies in one row group, which one core would read: deal its rows to all cores.
-
-    Larger tables have row groups enough and are left as they lie.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +157,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     write_stage(df, path)
-    return spread(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -191,7 +179,7 @@ def doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     known = docs(spark, sf_dir).select("doc_id", "url", "domain", "crawl")
     joined = known.join(shares, "doc_id").withColumn("year_month", crawl_month(F.col("crawl")))
-    return joined.withColumn("dominant_topic", dominant_topic(F.col("topic_dist_arr"))).drop("crawl")
+    return joined.withColumn("dominant_topic", dominant_topic(F.col("topic_dist_arr")))
 
 
 LABELS = {i: -1 + 2 * i / 63 for i in range(64)}

@@ -37,7 +37,7 @@ def squeeze(t: str) -> str:
     return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
 
 
-def text_fp(t: str, n: int | None = 500) -> str:
+def text_fp(t: str, n: int | None = None) -> str:
     return f"md5({squeeze(f'lower({t})' if n is None else f'lower(substring({t}, 1, {n}))')})"
 
 
@@ -58,7 +58,7 @@ def cleaned(t: str) -> str:
 def month(crawl: str) -> str:
     y = rf"cast(regexp_extract({crawl}, '(\d{{4}})-(\d{{2}})', 1) AS INTEGER)"
     w = rf"cast(regexp_extract({crawl}, '(\d{{4}})-(\d{{2}})', 2) AS INTEGER)"
-    return f"strftime(date_trunc('week', make_date({y}, 1, 4)) + to_days(7 * (least({w}, 52) - 1)), '%Y-%m')"
+    return f"strftime(date_trunc('week', make_date({y}, 1, 4)) + to_days(7 * ({w} - 1)), '%Y-%m')"
 
 
 def phrases(t: str, ps: list[str]) -> str:
@@ -85,7 +85,7 @@ CTES: dict[str, str] = {
 
 def _first_by(source: str, key: str) -> str:
     return (
-        f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} "
+        f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY crawl, {key} "
         f"ORDER BY fetch_time, url) AS rn FROM {source}) WHERE rn = 1"
     )
 
@@ -167,7 +167,7 @@ def sentiment(source: str, key: str, n_chars: int | None) -> dict[str, str]:
     return steps
 
 
-CTES |= sentiment("corpus", "doc_id", 2000)
+CTES |= sentiment("corpus", "doc_id", None)
 CTES["scored"] = f"""
     SELECT c.* EXCLUDE (text), {slant('text')} AS partisan_score,
       s.sentiment_compound, s.sentiment_pos, s.sentiment_neg, s.sentiment_neu
@@ -180,13 +180,13 @@ CTES["topic_scores"] = """
       CASE WHEN list_sum(mix) <> 0 THEN list_inner_product(mix, labels) / list_sum(mix) ELSE 0.0 END
         AS topic_ideology_score FROM mixes"""
 CTES["doc_topics"] = f"""
-    SELECT doc_id, url, domain, {month('crawl')} AS year_month, mix, dominant_topic, topic_ideology_score
+    SELECT doc_id, crawl, url, domain, {month('crawl')} AS year_month, mix, dominant_topic, topic_ideology_score
     FROM fx_docs JOIN topic_scores ON doc_id = vec_id"""
 CTES["joined"] = """
-    SELECT t.url, t.domain, t.year_month, t.dominant_topic, t.topic_ideology_score, s.sentiment_compound,
+    SELECT t.crawl, t.url, t.domain, t.year_month, t.dominant_topic, t.topic_ideology_score, s.sentiment_compound,
       s.partisan_score, s.sentiment_pos, s.sentiment_neg,
       (s.partisan_score + t.topic_ideology_score) / 2 AS composite_ideology
-    FROM doc_topics t JOIN scored s ON t.url = s.url"""
+    FROM doc_topics t JOIN scored s ON t.crawl = s.crawl AND t.url = s.url"""
 CTES["modes"] = """
     SELECT domain, year_month, dominant_topic AS modal_topic FROM (
       SELECT domain, year_month, dominant_topic,
@@ -321,15 +321,15 @@ def _documents(column: str) -> str:
 
 def oracles() -> dict[str, str]:
     whole = sentiment("documents", "doc_id", None)
-    first = sentiment("documents", "doc_id", 2000)
+    first = sentiment("documents", "doc_id", None)
     return {
         "partisan_panel": statement(f"""
             SELECT domain, year_month, count(*) AS doc_count, round(avg({slant('text')}), {R}) AS avg_partisan_score
             FROM corpus GROUP BY domain, year_month"""),
         "stage_roundtrip": statement("SELECT * EXCLUDE (doc_id) FROM clean_pages"),
         "crawl_rows": statement("SELECT url, fetch_time, crawl FROM fx_index WHERE crawl = 'CC-MAIN-2024-10'"),
-        "parse_records": statement("SELECT url, crawl, fetch_time, substring(html, 1, 500000) AS html FROM fx_pages"),
-        "fetch_records": statement("SELECT url, crawl, fetch_time, substring(html, 1, 500000) AS html FROM fx_pages"),
+        "parse_records": statement("SELECT url, crawl, fetch_time, html FROM fx_pages"),
+        "fetch_records": statement("SELECT url, crawl, fetch_time, html FROM fx_pages"),
         "topic_labels": """
             SELECT cast(i - 1 AS INTEGER) AS topic, round(greatest(-1.0, least(1.0, avg(x::DOUBLE) * 10)), 6) AS label
             FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i""",
@@ -339,11 +339,13 @@ def oracles() -> dict[str, str]:
         "stage_counts": statement(
             f"""SELECT stage, row_count FROM (
               SELECT 'segments' AS stage, (SELECT count(*) FROM picked) AS row_count
+              UNION ALL SELECT 'fetched', (SELECT count(*) FROM picked)
+              UNION ALL SELECT 'rejects', 0
               UNION ALL SELECT 'raw-html', (SELECT count(*) FROM picked)
               UNION ALL SELECT 'clean-text', (SELECT count(*) FROM thick)
               UNION ALL SELECT 'corpus', (SELECT count(*) FROM last))""",
             picked=f"SELECT url FROM fx_index WHERE {_WANTED}",
-            thick=f"SELECT x.* FROM ({extracted(20000)}) x JOIN picked ON x.url = picked.url",
+            thick=f"SELECT x.* FROM ({extracted(None)}) x JOIN picked ON x.url = picked.url",
             once=_first_by("thick", url_fp("url")),
             twice=_first_by("once", text_fp("text")),
             last=f"""SELECT * FROM (SELECT *, {cleaned('text')} AS c FROM twice WHERE {ratio('text')} <= 0.15)
@@ -378,7 +380,7 @@ def oracles() -> dict[str, str]:
         "partisan_score": _documents(f"round({slant('text')}, {R}) AS score"),
         "lexicon_sentiment": statement(f"SELECT doc_id, {_rounded(_SENTIMENT)} FROM sentiment", **first),
         "lexicon_sentiment_whole": statement(f"SELECT doc_id, {_rounded(_SENTIMENT)} FROM sentiment", **whole),
-        "extract_pages": statement(extracted(20000)),
+        "extract_pages": statement(extracted(None)),
         "extract_pages_whole": statement(extracted(None)),
         "min_words_filter": statement(f"SELECT doc_id, url FROM fx_docs WHERE {words('text')} >= 100"),
         "non_ascii_filter": statement(f"SELECT doc_id, url FROM fx_docs WHERE {ratio('text')} <= 0.15"),
@@ -394,11 +396,11 @@ def oracles() -> dict[str, str]:
             SELECT * EXCLUDE (partisan_score, sentiment_compound, sentiment_pos, sentiment_neg, sentiment_neu),
               {_rounded(['partisan_score', *_SENTIMENT])} FROM scored"""),
         "sentiment_panel": statement(f"""
-            SELECT domain, year_month, count(*) AS doc_count, round(avg(sentiment_compound), {R}) AS avg_sentiment,
+            SELECT domain, year_month, count(*) AS doc_count, round(cast(sum(cast(sentiment_compound AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_compound), {R}) AS avg_sentiment,
               round(stddev_samp(sentiment_compound), {R}) AS std_sentiment,
               round(avg(partisan_score), {R}) AS avg_partisan_score,
               round(stddev_samp(partisan_score), {R}) AS std_partisan_score,
-              round(avg(sentiment_pos), {R}) AS avg_pos, round(avg(sentiment_neg), {R}) AS avg_neg
+              round(cast(sum(cast(sentiment_pos AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_pos), {R}) AS avg_pos, round(cast(sum(cast(sentiment_neg AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_neg), {R}) AS avg_neg
             FROM scored GROUP BY domain, year_month HAVING count(*) >= 5"""),
         "ideology_panel": statement(f"SELECT {_PANEL_SELECT} FROM panel"),
         "domain_features": statement(f"SELECT domain, {_rounded(FEATURES)}, total_docs FROM features"),
@@ -433,7 +435,7 @@ def oracles() -> dict[str, str]:
               SELECT year_month, unnest(mix) AS x, generate_subscripts(mix, 1) AS i FROM doc_topics)
             GROUP BY year_month, i"""),
         "join_scores": statement(f"""
-            SELECT url, domain, year_month, dominant_topic,
+            SELECT crawl, url, domain, year_month, dominant_topic,
               {_rounded(['topic_ideology_score', 'sentiment_compound', 'partisan_score', 'sentiment_pos', 'sentiment_neg'])}
             FROM joined"""),
         "build_panel": statement(f"SELECT {_PANEL_SELECT}, crawl FROM crawl_panel"),

@@ -85,7 +85,20 @@ def parse_records(spark, sf_dir):
 @query
 def fetch_records(spark, sf_dir):
     located, root = I.archive(spark, sf_dir)
-    return A.parse_records(A.fetch_records(located, root)).select("url", "crawl", "fetch_time", "html")
+    return A.parse_records(A.fetched(A.fetch_records(located, root))).select("url", "crawl", "fetch_time", "html")
+
+
+@query
+def fetch_rejects(spark, sf_dir):
+    """Records that cannot be read: every fifth lies past the end of its file, every seventh in no file."""
+    located, root = I.archive(spark, sf_dir)
+    n = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(35))
+    broken = located.withColumns({
+        "warc_filename": F.when(n % 7 == 0, F.lit("absent.warc")).otherwise(F.col("warc_filename")),
+        "warc_record_offset": F.when(n % 5 == 0, F.lit(1 << 40)).otherwise(F.col("warc_record_offset")),
+    })
+    lost = A.rejected(A.fetch_records(broken, root))
+    return lost.select("url", "crawl", F.substring_index("error", ":", 1).alias("reason"))
 
 
 @query

@@ -121,13 +121,9 @@ FEATURES = [
 THREE_LABELS = ["Left", "Center", "Right"]
 FIVE_LABELS = ["Far Left", "Center-Left", "Center", "Center-Right", "Far Right"]
 
-MAX_HTML_CHARS = 500_000
-MAX_TEXT_CHARS = 20_000
 MIN_PAGE_WORDS = 100
 MIN_CORPUS_WORDS = 50
 MAX_NON_ASCII_RATIO = 0.15
-TEXT_KEY_CHARS = 500
-SENTIMENT_CHARS = 2_000
 NUM_TOPICS = 30
 TOPIC_ITERATIONS = 20
 VOCAB_SIZE = 20_000
@@ -138,6 +134,6 @@ SEED = 42
 
 # --- own choices ------------------------------------------------------------
 
-# About 50 MB in an executor; published lexicons have some ten thousand terms.
-MAX_BROADCAST_TERMS = 500_000
-MAX_FETCH_TASKS = 100_000
+# A read is tried so often, and this share of failed records stops a study.
+FETCH_ATTEMPTS = 5
+MAX_FAILED_SHARE = 0.05

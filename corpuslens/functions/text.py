@@ -12,7 +12,6 @@ from corpuslens.defaults import (
     LEFT_PHRASES,
     MIN_CORPUS_WORDS,
     RIGHT_PHRASES,
-    TEXT_KEY_CHARS,
 )
 
 # White space outside ASCII. One range test passes over nearly every character, and the
@@ -62,8 +61,8 @@ def head(text: Column, n_chars: int | None) -> Column:
     return text if n_chars is None else F.substring(text, 1, n_chars)
 
 
-def text_fingerprint(text: Column, n_chars: int | None = TEXT_KEY_CHARS) -> Column:
-    """md5 of the lower-cased, space-collapsed opening of a text; ``n_chars=None`` keys the whole text."""
+def text_fingerprint(text: Column, n_chars: int | None = None) -> Column:
+    """md5 of the lower-cased, space-collapsed text, or of its first ``n_chars`` characters."""
     return F.when(text != "", F.md5(collapse_spaces(F.lower(head(text, n_chars)))))
 
 

@@ -7,6 +7,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import bind
+
 _SCHEME = r"^([a-z][a-z0-9+.\-]*):"
 _AUTHORITY = r"^(?:[a-z][a-z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = r"^(?:[a-z][a-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -36,16 +38,22 @@ def in_domains(url: Column, domains: Iterable[str]) -> Column:
         by_labels.setdefault(d.count(".") + 1, []).append(d)
     if not by_labels:
         return F.lit(False)
-    host = url_domain(url)
-    hits = [F.substring_index(host, ".", -n).isin(names) for n, names in by_labels.items()]
-    return F.coalesce(reduce(or_, hits), F.lit(False))
+
+    def among(host: Column) -> Column:
+        return reduce(or_, [F.substring_index(host, ".", -n).isin(names) for n, names in by_labels.items()])
+
+    # A filter evaluates each mention of an expression anew, so the host is bound once.
+    return F.coalesce(bind(url_domain(url), among), F.lit(False))
 
 
 def has_url_keyword(url: Column, keywords: Iterable[str]) -> Column:
     """True when any keyword is a substring of the lower-cased URL."""
-    lowered = F.lower(url)
-    hits = [lowered.contains(k) for k in keywords]
-    return F.coalesce(reduce(or_, hits, F.lit(False)), F.lit(False))
+    words = list(keywords)
+
+    def among(lowered: Column) -> Column:
+        return reduce(or_, [lowered.contains(k) for k in words], F.lit(False))
+
+    return F.coalesce(bind(F.lower(url), among), F.lit(False))
 
 
 def canonical_url(url: Column) -> Column:
@@ -79,7 +87,7 @@ def crawl_month(crawl: Column) -> Column:
     week = F.regexp_extract(crawl, r"(\d{4})-(\d{2})", 2)
     valid = (year != "") & (year != "0000") & (week != "00")
     y = F.when(valid, year).cast("int")
-    w = F.least(F.when(valid, week).cast("int"), F.lit(52))
+    w = F.when(valid, week).cast("int")
     # 4 January always lies in ISO week 1.
     week_one = F.date_trunc("week", F.make_date(y, F.lit(1), F.lit(4))).cast("date")
     return F.date_format(F.date_add(week_one, (w - 1) * 7), "yyyy-MM")

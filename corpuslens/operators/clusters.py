@@ -170,10 +170,11 @@ def polarization_index(clusters: DataFrame, by: Sequence[str] = (), digits: int
     )
     n, mean = F.col("_n"), F.col("_mean")
     total = F.sum(n)
-    centre = F.sum(n * mean) / total
-    spread = F.greatest(F.sum(n * mean * mean) / total - centre * centre, F.lit(0.0))
+    # Deviations from the mean: a difference of squares would cancel where the means are close.
+    group = Window.partitionBy(*by)
+    stats = stats.withColumn("_centre", F.sum(n * mean).over(group) / F.sum(n).over(group))
     sums = stats.groupBy(*by).agg(
-        spread.alias("_between"),
+        (F.sum(n * F.pow(mean - F.col("_centre"), 2)) / total).alias("_between"),
         (F.sum(n * F.col("_var")) / total).alias("_within"),
         F.count(F.lit(1)).alias("n_clusters"),
         total.alias("n_domains"),

@@ -5,11 +5,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.defaults import TEXT_KEY_CHARS
 from corpuslens.functions.text import text_fingerprint
 from corpuslens.functions.urls import url_fingerprint
 
 ORDER = ("fetch_time", "url", "crawl")
+# A page seen in several crawls is an observation of each.
+APART = ("crawl",)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -20,19 +21,22 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df.withColumns({"_id1": F.xxhash64(*df.columns), "_id2": F.hash(*df.columns)})
 
 
-def earliest(df: DataFrame, keys: Sequence[Column], order: Sequence[str] = ORDER) -> DataFrame:
+def earliest(
+    df: DataFrame, keys: Sequence[Column], order: Sequence[str] = ORDER, apart: Sequence[str] = APART
+) -> DataFrame:
     """Row ids of the survivors of one pass per key, in the order of ``keys``.
 
     A pass keeps, for every value of its key, the row that comes first by ``order``; rows
-    with a null key form one group. Only order columns, ids and keys are shuffled, and every
+    with a null key form one group. Rows that differ in ``apart`` are no copies of each other. Only order columns, ids and keys are shuffled, and every
     map task sends at most one row per key value, so one group may hold most of the table.
     """
-    by = [c for c in order if c in df.columns]
+    apart = [c for c in apart if c in df.columns]
+    by = [*dict.fromkeys([c for c in order if c in df.columns] + apart)]
     names = [f"_key{i}" for i in range(len(keys))]
     rows = with_row_id(df).select(*by, "_id1", "_id2", *[k.alias(n) for k, n in zip(keys, names)])
     for i, name in enumerate(names):
         first = F.min(F.struct(*by, "_id1", "_id2", *names[i + 1:])).alias("_first")
-        rows = rows.groupBy(name).agg(first).select("_first.*")
+        rows = rows.groupBy(*apart, name).agg(first).select("_first.*")
     return rows.select("_id1", "_id2")
 
 
@@ -51,10 +55,10 @@ def _dedup(df: DataFrame, key: Column) -> DataFrame:
 
 
 def dedup_by_url(df: DataFrame, url_col: str = "url", unify_scheme: bool = False) -> DataFrame:
-    """One row per URL fingerprint: the earliest fetched, then the smallest URL."""
+    """One row per crawl and URL fingerprint: the earliest fetched, then the smallest URL."""
     return _dedup(df, url_fingerprint(F.col(url_col), unify_scheme))
 
 
-def dedup_by_text(df: DataFrame, text_col: str = "text", n_chars: int | None = TEXT_KEY_CHARS) -> DataFrame:
-    """One row per text fingerprint: the earliest fetched, then the smallest URL."""
+def dedup_by_text(df: DataFrame, text_col: str = "text", n_chars: int | None = None) -> DataFrame:
+    """One row per crawl and text fingerprint: the earliest fetched, then the smallest URL."""
     return _dedup(df, text_fingerprint(F.col(text_col), n_chars))

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from corpuslens.defaults import (
     BOILERPLATE_TAGS,
     CONTENT_CLASS_PATTERN,
-    MAX_TEXT_CHARS,
     MIN_PAGE_WORDS,
     TEXT_TAGS,
 )
@@ -35,39 +34,55 @@ _RANKS = ("article", "main", "div", "body")
 
 
 class _MainText(HTMLParser):
-    """Collects the text of block elements inside the preferred container of one page."""
+    """Collects the text of block elements inside the preferred container of one page.
+
+    Every step takes a bounded time, whatever is open, and every text is kept once for each kind of
+    container, so time and output grow with the page.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, list[str] | None, str | None]] = []
+        # Name, whether its text counts, container kind.
+        self.stack: list[tuple[str, bool, str | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
         self.hidden = 0
-        self.blocks: dict[str, list[list[str]]] = {"body": []}
+        self.open_blocks = 0
+        self.texts: dict[str, list[str]] = {"body": []}
         self.inside = {"body"}
         self.pending: list[str] = []
 
     def _flush(self) -> None:
         text = "".join(self.pending).strip()
         self.pending.clear()
-        if text and not self.hidden:
-            for _, block, _ in self.stack:
-                if block is not None:
-                    block.append(text)
+        if text and self.open_blocks and not self.hidden:
+            for kind in self.inside:
+                self.texts[kind].append(text)
+
+    def _push(self, tag: str, is_block: bool, container: str | None) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCKS:
+            self.block_places.append(len(self.stack))
+        self.stack.append((tag, is_block, container))
+        self.hidden += tag in BOILERPLATE_TAGS
+        self.open_blocks += is_block
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            tag, _, container = self.stack.pop()
+            tag, is_block, container = self.stack.pop()
+            self.places[tag].pop()
+            if tag in _BLOCKS:
+                self.block_places.pop()
             self.hidden -= tag in BOILERPLATE_TAGS
+            self.open_blocks -= is_block
             self.inside.discard(container)
 
     def _close_implied(self, tag: str) -> None:
         """A new block ends an open paragraph; a new list item ends the item before it."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+        if self.block_places:
+            name = self.stack[self.block_places[-1]][0]
             if name == "p" or name == tag == "li":
-                self._pop_to(i)
-                return
-            if name in _BLOCKS:
-                return
+                self._pop_to(self.block_places[-1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._flush()
@@ -75,22 +90,16 @@ class _MainText(HTMLParser):
             return
         if tag in _PARAGRAPH_ENDS:
             self._close_implied(tag)
-        self.hidden += tag in BOILERPLATE_TAGS
-        block = container = None
-        if not self.hidden:
-            container = self._container(tag, attrs)
-            if tag in TEXT_TAGS:
-                block = []
-                for c in self.inside:
-                    self.blocks[c].append(block)
-            if container:
-                self.blocks[container] = []
-                self.inside.add(container)
-        self.stack.append((tag, block, container))
+        hidden = self.hidden or tag in BOILERPLATE_TAGS
+        container = None if hidden else self._container(tag, attrs)
+        if container:
+            self.texts[container] = []
+            self.inside.add(container)
+        self._push(tag, not hidden and tag in TEXT_TAGS, container)
 
     def _container(self, tag: str, attrs: list[tuple[str, str | None]]) -> str | None:
         """The container kind that this element is the first of."""
-        if tag not in ("article", "main", "div") or tag in self.blocks:
+        if tag not in ("article", "main", "div") or tag in self.texts:
             return None
         if tag == "div" and not re.search(CONTENT_CLASS_PATTERN, dict(attrs).get("class") or "", re.I):
             return None
@@ -98,13 +107,12 @@ class _MainText(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name == tag:
-                self._pop_to(i)
-                return
-            if name in _BLOCKS and tag not in _BLOCKS and tag not in BOILERPLATE_TAGS:
-                return
+        if not self.places.get(tag):
+            return
+        at = self.places[tag][-1]
+        # An inline end tag does not reach across a block.
+        if tag in _BLOCKS or tag in BOILERPLATE_TAGS or not self.block_places or at > self.block_places[-1]:
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
         self.pending.append(data)
@@ -114,18 +122,19 @@ class _MainText(HTMLParser):
 
     def text(self) -> str:
         self._flush()
-        kind = next(k for k in _RANKS if k in self.blocks)
-        return " ".join(" ".join(b) for b in self.blocks[kind] if b)
+        return " ".join(self.texts[next(k for k in _RANKS if k in self.texts)])
 
 
-def _page_text(html: str) -> str | None:
-    parser = _MainText()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):
-        return None
-    return unicodedata.normalize("NFKC", parser.text())
+def _page_text(html: str) -> str:
+    for page in (html, html.replace("<!", "&lt;!")):
+        parser = _MainText()
+        try:
+            parser.feed(page)
+            parser.close()
+        except (AssertionError, ValueError):
+            continue  # a broken declaration; the second time they are text
+        return unicodedata.normalize("NFKC", parser.text())
+    raise ValueError("a page without declarations cannot fail")
 
 
 @F.pandas_udf(T.StringType())
@@ -140,14 +149,14 @@ _main_text_once = _main_text.asNondeterministic()
 def extract_pages(
     pages: DataFrame,
     min_words: int = MIN_PAGE_WORDS,
-    max_chars: int | None = MAX_TEXT_CHARS,
+    max_chars: int | None = None,
     html_col: str = "html",
 ) -> DataFrame:
     """Pages as (url, domain, crawl, fetch_time, text, word_count); thin pages and pages without host go.
 
     The text is that of headings, paragraphs, list items and quotes in the first ``article``,
     else ``main``, else ``div`` of a content class, else the body, without boilerplate
-    elements. A block inside another block is given twice. Only the HTML goes to Python.
+    elements. The text of a block inside another block is given once. Only the HTML goes to Python.
     """
     require_columns(pages, "url", "crawl", "fetch_time", html_col)
     sited = pages.withColumn("domain", url_domain(F.col("url"))).filter(F.col("domain").isNotNull())

@@ -19,8 +19,8 @@ def score_topics(doc_topics: DataFrame, labels: DataFrame | Mapping[int, float])
     return doc_topics.withColumn("topic_ideology_score", topic_ideology(F.col("topic_dist_arr"), labels))
 
 
-def join_scores(scored_topics: DataFrame, sentiment: DataFrame, on: Sequence[str] = ("url",)) -> DataFrame:
-    """Topic and sentiment scores of each document. Over several crawls join on (crawl, url)."""
+def join_scores(scored_topics: DataFrame, sentiment: DataFrame, on: Sequence[str] = ("crawl", "url")) -> DataFrame:
+    """Topic and sentiment scores of each document, which is a URL in a crawl."""
     keys = list(on)
     kept = [*dict.fromkeys([*keys, "url", "domain", "year_month"]), "dominant_topic", "topic_ideology_score"]
     scores = ["sentiment_compound", "partisan_score", "sentiment_pos", "sentiment_neg"]
@@ -33,8 +33,8 @@ def composite_ideology(joined: DataFrame) -> DataFrame:
     return joined.withColumn("composite_ideology", mean)
 
 
-def ideology_panel(scored: DataFrame, min_docs: int = 5) -> DataFrame:
-    """Ideology by domain and month, for months with enough documents.
+def ideology_panel(scored: DataFrame, min_docs: int = 5, by: Sequence[str] = ("domain", "year_month")) -> DataFrame:
+    """Ideology by domain and month, or by other columns, for groups with enough documents.
 
     ``median_topic`` and ``modal_topic`` (the smallest on ties) hold one counter per topic,
     so their state does not grow with the group.
@@ -48,7 +48,7 @@ def ideology_panel(scored: DataFrame, min_docs: int = 5) -> DataFrame:
         "avg_partisan_score": "partisan_score",
     }
     return (
-        scored.groupBy("domain", "year_month")
+        scored.groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("doc_count"),
             F.avg("composite_ideology").alias("ideology_score"),

@@ -1,8 +1,9 @@
 """Document sentiment from a lexicon, and its monthly panel."""
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +12,8 @@ from corpuslens.defaults import (
     BOOST,
     DAMPENERS,
     LEFT_PHRASES,
-    MAX_BROADCAST_TERMS,
     NEGATORS,
     RIGHT_PHRASES,
-    SENTIMENT_CHARS,
 )
 from corpuslens.functions.text import head, partisan_score, plain_spaces
 from corpuslens.schemas import require_columns
@@ -33,12 +32,9 @@ BOOSTERS = dict.fromkeys(AMPLIFIERS, BOOST) | dict.fromkeys(DAMPENERS, -BOOST)
 
 
 def lexicon_table(spark: SparkSession, terms: Mapping[str, float]) -> DataFrame:
-    return spark.createDataFrame([(t, float(v)) for t, v in terms.items()], "term string, valence double")
-
-
-def _sized(table: DataFrame) -> DataFrame:
-    """The table marked for broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(table) if table.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS else table
+    """The lexicon as a table of known size, by which Spark decides whether to broadcast it."""
+    columns = {"term": pa.array(list(terms), pa.string()), "valence": pa.array(map(float, terms.values()), pa.float64())}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def _look_up(rows: DataFrame, lexicon: DataFrame, word: str, name: str) -> DataFrame:
@@ -139,20 +135,20 @@ def lexicon_sentiment(
     negators: Iterable[str] = NEGATORS,
     boosters: Mapping[str, float] = BOOSTERS,
     text_col: str = "text",
-    max_chars: int | None = SENTIMENT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """``docs`` without the text, plus ``sentiment_compound, _pos, _neg, _neu``.
 
     ``lexicon`` has one row (term, valence) per term. Scored words are found by a join of the
-    words of each text with the lexicon, which is broadcast after its rows were counted; one
-    that is too large for that is shuffled. The words of a text are summed up in their map
+    words of each text with the lexicon; Spark broadcasts a table whose size is known to be
+    small, which a stored lexicon's is, and shuffles a larger one. The words of a text are summed up in their map
     task, so one narrow row per text is shuffled. Rules for capitals, emoji and idioms are left out.
-    ``max_chars=None`` scores whole texts.
+    ``max_chars`` scores the beginning of each text only.
     """
     require_columns(docs, text_col)
     require_columns(lexicon, "term", "valence")
     negators = list(negators)
-    lexicon = _sized(lexicon.select("term", "valence"))
+    lexicon = lexicon.select("term", "valence")
     kept = [c for c in docs.columns if c != text_col]
     text = head(F.coalesce(F.col(text_col), F.lit("")), max_chars)
     prepared = docs.select(
@@ -218,26 +214,33 @@ def score_documents(
     right: Iterable[str] = RIGHT_PHRASES,
     negators: Iterable[str] = NEGATORS,
     boosters: Mapping[str, float] = BOOSTERS,
-    max_chars: int | None = SENTIMENT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """The corpus without its text, with sentiment and partisan score per document."""
     slanted = corpus.withColumn("partisan_score", partisan_score(F.col("text"), left, right))
     return lexicon_sentiment(slanted, lexicon, negators, boosters, max_chars=max_chars)
 
 
-def sentiment_panel(scored: DataFrame, min_docs: int = 10) -> DataFrame:
-    """Sentiment and partisan score by domain and month, for months with enough documents."""
+def sentiment_panel(
+    scored: DataFrame, min_docs: int = 10, by: Sequence[str] = ("domain", "year_month")
+) -> DataFrame:
+    """Sentiment and partisan score by domain and month, or by other columns, for groups with enough documents."""
     compound, partisan = F.col("sentiment_compound"), F.col("partisan_score")
+
+    def mean(score: str) -> Column:
+        # Scores have four decimals at most, and sums of decimals are exact in any order.
+        return (F.sum(F.col(score).cast("decimal(20,4)")).cast("double") / F.count(score))
+
     return (
-        scored.groupBy("domain", "year_month")
+        scored.groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("doc_count"),
-            F.avg(compound).alias("avg_sentiment"),
+            mean("sentiment_compound").alias("avg_sentiment"),
             F.stddev_samp(compound).alias("std_sentiment"),
             F.avg(partisan).alias("avg_partisan_score"),
             F.stddev_samp(partisan).alias("std_partisan_score"),
-            F.avg("sentiment_pos").alias("avg_pos"),
-            F.avg("sentiment_neg").alias("avg_neg"),
+            mean("sentiment_pos").alias("avg_pos"),
+            mean("sentiment_neg").alias("avg_neg"),
         )
         .filter(F.col("doc_count") >= min_docs)
     )

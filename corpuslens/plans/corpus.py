@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.defaults import MAX_NON_ASCII_RATIO, MIN_CORPUS_WORDS, MIN_PAGE_WORDS, TEXT_KEY_CHARS
+from corpuslens.defaults import MAX_NON_ASCII_RATIO, MIN_CORPUS_WORDS, MIN_PAGE_WORDS
 from corpuslens.functions.text import cleaned, non_ascii_ratio, text_fingerprint, word_count
 from corpuslens.functions.urls import crawl_month, url_fingerprint
 from corpuslens.operators.dedup import earliest, keep, with_row_id
@@ -23,11 +23,11 @@ def build_corpus(
     pages: DataFrame,
     max_ratio: float = MAX_NON_ASCII_RATIO,
     words: int = MIN_CORPUS_WORDS,
-    key_chars: int | None = TEXT_KEY_CHARS,
+    key_chars: int | None = None,
 ) -> DataFrame:
     """Deduplicated, cleaned documents with their month.
 
-    Copies by URL go first, then copies by text, then texts by language and length. Which
+    Copies go within each crawl: by URL first, then by whole text, then texts by language and length. Which
     copies stay is decided on fingerprints alone. The language and length filters do not
     change that choice, so they run before the texts are shuffled, which happens once.
     ``pages`` is read twice: give it as a stored table.

@@ -4,16 +4,17 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens import schemas
 from corpuslens.defaults import (
     DOMAINS,
     LEFT_PHRASES,
+    MAX_FAILED_SHARE,
     MIN_PAGE_WORDS,
     NEGATORS,
     NUM_TOPICS,
     RIGHT_PHRASES,
-    SENTIMENT_CHARS,
     TOPIC_ITERATIONS,
     URL_KEYWORDS,
     VOCAB_SIZE,
@@ -42,8 +43,12 @@ from corpuslens.operators.topics import (
     topic_term_lists,
 )
 from corpuslens.plans.corpus import build_corpus
-from corpuslens.sources.archive import fetch_records, parse_records
-from corpuslens.sources.stages import read_stage, write_csv, write_json, write_stage
+from corpuslens.sources.archive import fetch_records, fetched, parse_records, rejected
+from corpuslens.sources.stages import for_crawl, read_stage, write_csv, write_json, write_stage
+
+
+PANEL_KEYS = ("crawl", "domain", "year_month")
+METRICS = T.StructType([T.StructField("crawl", T.StringType()), *schemas.POLARIZATION.fields])
 
 
 def collect_corpus(
@@ -54,18 +59,32 @@ def collect_corpus(
     domains: Iterable[str] = DOMAINS,
     keywords: Iterable[str] = URL_KEYWORDS,
     min_page_words: int = MIN_PAGE_WORDS,
+    fraction: float = 1.0,
+    max_html_chars: int | None = None,
+    max_text_chars: int | None = None,
+    key_chars: int | None = None,
+    max_failed: float = MAX_FAILED_SHARE,
 ) -> dict[str, int]:
-    """Crawl index to corpus under ``out``: segments, raw-html, clean-text, corpus. Returns rows per stage."""
+    """Crawl index to corpus under ``out``: segments, fetched, rejects, raw-html, clean-text, corpus. Returns rows per stage.
+
+    Every stage holds its crawls apart. Texts are whole unless a length is given. Records that
+    could not be read are listed in ``rejects``; more than a share of ``max_failed`` is an error.
+    """
     spark = index.sparkSession
     by = ["crawl"]
     rows = {}
-    rows["segments"] = write_stage(filter_index(index, crawl, domains, keywords), f"{out}/segments", by)
+    rows["segments"] = write_stage(filter_index(index, crawl, domains, keywords, fraction=fraction), f"{out}/segments", by)
     manifest = read_stage(spark, f"{out}/segments", schemas.SEGMENTS)
-    rows["raw-html"] = write_stage(parse_records(fetch_records(manifest, archive)), f"{out}/raw-html", by)
+    rows["fetched"] = write_stage(fetch_records(manifest, archive), f"{out}/fetched", by)
+    records = read_stage(spark, f"{out}/fetched", schemas.RAW_RECORDS)
+    rows["rejects"] = write_stage(rejected(records), f"{out}/rejects", by)
+    if rows["rejects"] > max_failed * rows["fetched"]:
+        raise RuntimeError(f"{rows['rejects']} of {rows['fetched']} records could not be read, see {out}/rejects")
+    rows["raw-html"] = write_stage(parse_records(fetched(records), max_html_chars=max_html_chars), f"{out}/raw-html", by)
     raw = read_stage(spark, f"{out}/raw-html", schemas.RAW_HTML)
-    rows["clean-text"] = write_stage(extract_pages(raw, min_page_words), f"{out}/clean-text", by)
+    rows["clean-text"] = write_stage(extract_pages(raw, min_page_words, max_text_chars), f"{out}/clean-text", by)
     pages = read_stage(spark, f"{out}/clean-text", schemas.CLEAN_TEXT)
-    rows["corpus"] = write_stage(build_corpus(pages), f"{out}/corpus", by)
+    rows["corpus"] = write_stage(build_corpus(pages, key_chars=key_chars), f"{out}/corpus", by)
     return rows
 
 
@@ -77,16 +96,16 @@ def score_corpus(
     right: Iterable[str] = RIGHT_PHRASES,
     negators: Iterable[str] = NEGATORS,
     boosters: Mapping[str, float] = BOOSTERS,
-    max_chars: int | None = SENTIMENT_CHARS,
+    max_chars: int | None = None,
     min_docs: int = 10,
 ) -> dict[str, int]:
-    """``out/corpus`` to sentiment by document and by domain and month."""
+    """``out/corpus`` to sentiment by document and by crawl, domain and month."""
     corpus = read_stage(spark, f"{out}/corpus", schemas.CORPUS)
     scored = score_documents(corpus, lexicon, left, right, negators, boosters, max_chars)
-    rows = {"sentiment/by_document": write_stage(scored, f"{out}/sentiment/by_document")}
+    rows = {"sentiment/by_document": write_stage(scored, f"{out}/sentiment/by_document", ["crawl"])}
     stored = read_stage(spark, f"{out}/sentiment/by_document", schemas.DOC_SENTIMENT)
-    panel = sentiment_panel(stored, min_docs)
-    rows["sentiment/by_domain_month"] = write_stage(panel, f"{out}/sentiment/by_domain_month")
+    panel = sentiment_panel(stored, min_docs, PANEL_KEYS)
+    rows["sentiment/by_domain_month"] = write_stage(panel, f"{out}/sentiment/by_domain_month", ["crawl"])
     return rows
 
 
@@ -104,11 +123,11 @@ def model_topics(
     write_json(topic_term_lists(top_terms(model)), f"{out}/topics/topic_terms")
     write_json(topic_quality(model, corpus), f"{out}/topics/quality")
     save_topic_model(model, f"{out}/topics/model")
-    return {"topics/doc_topics": write_stage(document_topics(model, corpus), f"{out}/topics/doc_topics")}
+    return {"topics/doc_topics": write_stage(document_topics(model, corpus), f"{out}/topics/doc_topics", ["crawl"])}
 
 
 def score_ideology(
-    spark: SparkSession, out: str, labels: DataFrame | Mapping[int, float], min_docs: int = 5, on: Iterable[str] = ("url",)
+    spark: SparkSession, out: str, labels: DataFrame | Mapping[int, float], min_docs: int = 5, on: Iterable[str] = ("crawl", "url")
 ) -> dict[str, int]:
     """Document topics and sentiment to ideology by document and by domain and month."""
     topics = schemas.require_columns(
@@ -117,26 +136,26 @@ def score_ideology(
     sentiment = read_stage(spark, f"{out}/sentiment/by_document", schemas.DOC_SENTIMENT)
     joined = composite_ideology(join_scores(score_topics(topics, labels), sentiment, list(on)))
     by_document = [
-        "url", "domain", "year_month", "dominant_topic", "composite_ideology", "sentiment_compound",
+        "crawl", "url", "domain", "year_month", "dominant_topic", "composite_ideology", "sentiment_compound",
         "partisan_score", "topic_ideology_score",
     ]
     # The stored join feeds the panel, so it is computed once.
     write_stage(joined, f"{out}/ideology/scored")
     scored = spark.read.parquet(f"{out}/ideology/scored")
-    rows = {"ideology/doc_ideology": write_stage(scored.select(*by_document), f"{out}/ideology/doc_ideology")}
+    rows = {"ideology/doc_ideology": write_stage(scored.select(*by_document), f"{out}/ideology/doc_ideology", ["crawl"])}
     rows["ideology/domain_ideology"] = write_stage(
-        ideology_panel(scored, min_docs), f"{out}/ideology/domain_ideology"
+        ideology_panel(scored, min_docs, PANEL_KEYS), f"{out}/ideology/domain_ideology", ["crawl"]
     )
     return rows
 
 
 def cluster_panel(spark: SparkSession, out: str, k: int = 0, k_max: int = 8, min_docs: int = 20) -> dict[str, int]:
-    """The ideology panel to labelled domain clusters, their summary and the polarization metrics.
+    """The ideology panel to labelled clusters of domains in crawls, their summary and the polarization of each crawl.
 
     ``k=0`` chooses k by silhouette.
     """
-    panel = read_stage(spark, f"{out}/ideology/domain_ideology", schemas.DOMAIN_IDEOLOGY)
-    standardized = standardize(domain_features(panel, min_docs))
+    panel = read_stage(spark, f"{out}/ideology/domain_ideology", schemas.CRAWL_IDEOLOGY)
+    standardized = standardize(domain_features(panel, min_docs, by=("crawl", "domain")))
     if k <= 0:
         k, _ = select_k(standardized, k_max=k_max)
     placed = project_2d(cluster_domains(standardized, k)).drop("raw_features", "scaled_features")
@@ -145,7 +164,19 @@ def cluster_panel(spark: SparkSession, out: str, k: int = 0, k_max: int = 8, min
     labelled = label_clusters(cluster_summary(clusters), k)
     write_csv(labelled.coalesce(1).sortWithinPartitions("ideology_score_mean"), f"{out}/clusters/cluster_summary")
     write_json(
-        polarization_index(clusters).withColumn("k", F.lit(k)), f"{out}/clusters/polarization_metrics"
+        polarization_index(clusters, by=["crawl"]).withColumn("k", F.lit(k)), f"{out}/clusters/polarization_metrics"
     )
     rows = write_stage(label_domains(clusters, labelled), f"{out}/clusters/domain_clusters")
     return {"clusters/domain_clusters": rows}
+
+
+def publish_crawls(spark: SparkSession, out: str, base: str) -> list[str]:
+    """Panel and metrics of each crawl under ``base/crawl``, as ``read_panel`` and ``read_metrics`` take them. Returns the crawls."""
+    panel = read_stage(spark, f"{out}/ideology/domain_ideology", schemas.CRAWL_IDEOLOGY)
+    metrics = spark.read.schema(METRICS).json(f"{out}/clusters/polarization_metrics")
+    # One row per crawl snapshot.
+    crawls = sorted(r["crawl"] for r in panel.select("crawl").distinct().collect())
+    for crawl in crawls:
+        write_stage(for_crawl(panel, crawl).drop("crawl"), f"{base}/{crawl}/domain_ideology")
+        write_json(for_crawl(metrics, crawl).drop("crawl"), f"{base}/{crawl}/polarization_metrics")
+    return crawls

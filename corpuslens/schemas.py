@@ -24,6 +24,11 @@ CRAWL_INDEX = _schema(
     "warc_record_length bigint, content_mime_detected string, crawl string"
 )
 SEGMENTS = CRAWL_INDEX
+RAW_RECORDS = T.StructType([
+    *_schema("url string, crawl string, fetch_time string, warc_filename string, warc_offset bigint").fields,
+    T.StructField("raw", T.BinaryType()),
+    T.StructField("error", T.StringType()),
+])
 RAW_HTML = _schema(
     "url string, crawl string, fetch_time string, html string, warc_filename string, warc_offset bigint"
 )
@@ -39,7 +44,7 @@ DOC_SENTIMENT = _schema(
     "partisan_score double"
 )
 DOC_TOPICS = _schema(
-    "doc_id bigint, url string, domain string, year_month string, topic_dist_arr array<double>, "
+    "doc_id bigint, crawl string, url string, domain string, year_month string, topic_dist_arr array<double>, "
     "dominant_topic int"
 )
 DOMAIN_IDEOLOGY = _schema(
@@ -47,6 +52,7 @@ DOMAIN_IDEOLOGY = _schema(
     "avg_sentiment double, avg_pos_sentiment double, avg_neg_sentiment double, avg_topic_ideology double, "
     "avg_partisan_score double, median_topic int, modal_topic int"
 )
+CRAWL_IDEOLOGY = T.StructType([*_schema("crawl string").fields, *DOMAIN_IDEOLOGY.fields])
 POLARIZATION = _schema(
     "polarization_index double, between_cluster_var double, within_cluster_var double, "
     "n_clusters bigint, n_domains bigint"

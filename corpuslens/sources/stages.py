@@ -4,6 +4,7 @@ import uuid
 import warnings
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,11 @@ def write_stage(
     laid_out = counted.repartition(files) if files else counted.hint("rebalance", *keys)
     writer = laid_out.write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
-    return seen.get["rows"]
+    try:
+        return seen.get["rows"]
+    except Py4JError:
+        # Spark drops the observation with the rest of a plan that turns out to be empty.
+        return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -65,6 +65,19 @@ def test_tie_goes_to_the_smaller_url(spark):
     assert D.dedup_by_url(df).first().url == "http://h/p?a"
 
 
+def test_crawls_are_kept_apart(spark):
+    rows = [("http://h/p", "C-2022-05", "1", f"x {WORDS}"), ("http://h/p", "C-2024-10", "2", f"x {WORDS}"),
+            ("http://h/p?q", "C-2024-10", "3", f"x {WORDS}")]
+    got = build_corpus(spark.createDataFrame(rows, DDL)).select("crawl", "url").collect()
+    assert sorted(map(tuple, got)) == [("C-2022-05", "http://h/p"), ("C-2024-10", "http://h/p")]
+
+
+def test_articles_with_an_equal_opening_both_stay(spark):
+    opening = "word " * 200
+    rows = [("http://h/1", "C", "1", opening + "one"), ("http://h/2", "C", "2", opening + "two")]
+    assert build_corpus(spark.createDataFrame(rows, DDL)).count() == 2
+
+
 def test_url_pass_goes_before_text_pass(spark):
     # The text pass must not see row b, which the URL pass removes.
     rows = [("http://h/1", "C", "1", f"x {WORDS}"), ("http://h/1?b", "C", "2", f"y {WORDS}"),

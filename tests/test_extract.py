@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from corpuslens.operators.extract import _page_text, extract_pages
@@ -14,13 +16,15 @@ LONG = " ".join(f"word{i}" for i in range(120))
     ("<p>before</p><article><h1>T</h1><h5>no</h5><ul><li>x</li><li>y</ul></article><p>after", "T x y"),
     # The first article counts, later ones do not.
     ("<article><p>a</p></article><article><p>b</p></article>", "a"),
-    ("<article><p>a<article><p>in</p></article></p><p>b</p></article>", "a in in b"),
+    ("<article><p>a<article><p>in</p></article></p><p>b</p></article>", "a in b"),
     # Boilerplate goes wherever it stands, also an article inside a header.
     ("<header><article><p>h</p></article></header><article><p>a<script>var t='</p>';</script>b</p></article>", "a b"),
     ("<article><nav><p>n</p></nav><p>a</p><aside>s</aside><form><p>f</p></form></article>", "a"),
     ("<article><p>a</p><nav><p>n</article><p>x</p>", "a"),
-    # A block inside a block is given twice.
-    ("<article><blockquote>q<p>a</p></blockquote></article>", "q a a"),
+    # The text of a block inside a block is given once.
+    ("<article><blockquote>q<p>a</p>r</blockquote></article>", "q a r"),
+    # A broken declaration is text.
+    ("<article><p>a</p><![if x]><p>b</p></article>", "a b"),
     # Unclosed paragraphs end at the next block, inline tags do not close blocks.
     ("<article><p><b>one<br><p>two</p><p>three</b> more</p></article>", "one two three more"),
     ("<article><p>a <i>b</i>&amp;<!-- no --> c &lt;x&gt;</p></article>", "a b & c <x>"),
@@ -48,11 +52,19 @@ def test_thin_pages_and_pages_without_host_go(spark):
     assert [(r.url, r.domain, r.word_count, r.text) for r in rows] == [("http://www.h.org/1", "h.org", 120, LONG)]
 
 
-def test_long_text_is_cut_unless_asked_for_whole(spark):
+@pytest.mark.parametrize("part", ["<b>x", "<blockquote>word ", "<b></i>", "<i><p></b>", "<ul><li>x", "</p>", "<p>x"])
+def test_hostile_pages_take_linear_time_and_give_no_more_than_they_hold(part):
+    page = "<article>" + part * (500_000 // len(part))
+    start = time.perf_counter()
+    assert len(_page_text(page)) <= len(page)
+    assert time.perf_counter() - start < 10
+
+
+def test_long_text_is_whole_unless_asked_to_be_cut(spark):
     text = "x" * 99 + (" " + "y" * 99) * 400
     pages = _pages(spark, ("http://h/1", f"<p>{text}</p>"))
-    assert len(extract_pages(pages).first().text) == 20_000
-    whole = extract_pages(pages, max_chars=None).first()
+    assert len(extract_pages(pages, max_chars=20_000).first().text) == 20_000
+    whole = extract_pages(pages).first()
     assert (whole.text, whole.word_count) == (text, 401)
 
 

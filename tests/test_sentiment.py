@@ -105,10 +105,9 @@ def test_equals_scoring_one_text_at_a_time(spark, max_chars):
             texts[r.doc_id], got, want)
 
 
-def test_a_large_lexicon_gives_the_same_scores(spark, monkeypatch):
+def test_a_lexicon_that_is_shuffled_gives_the_same_scores(spark):
     docs = _docs(spark, 200)
     want = sorted(map(tuple, _score(spark, docs).collect()))
-    monkeypatch.setattr(S, "MAX_BROADCAST_TERMS", 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = _score(spark, docs)
@@ -118,6 +117,14 @@ def test_a_large_lexicon_gives_the_same_scores(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_lexicon_of_published_size(spark):
+    made = {f"made{i}": 1.0 + i % 3 for i in range(7_500)}
+    docs = _docs(spark, 200)
+    got = S.lexicon_sentiment(docs, S.lexicon_table(spark, LEXICON | made))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, _score(spark, docs).collect()))
+
+
 def test_equal_rows_stay_apart(spark):
     docs = spark.createDataFrame([(1, "good")] * 3, "doc_id int, text string")
     rows = _score(spark, docs).collect()

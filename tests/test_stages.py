@@ -32,8 +32,22 @@ def test_whole_study(spark, tmp_path):
     assert {"domain", "cluster", "total_docs", "x", "y", "ideology_label"} <= set(clusters.columns)
     summary = spark.read.option("header", True).csv(f"{out}/clusters/cluster_summary")
     assert {r.ideology_label for r in summary.collect()} == {"Left", "Center", "Right"}
-    metrics = spark.read.json(f"{out}/clusters/polarization_metrics").first()
-    assert metrics.k == 3 and metrics.n_domains == rows["clusters/domain_clusters"]
+    metrics = spark.read.json(f"{out}/clusters/polarization_metrics").collect()
+    assert {m.k for m in metrics} == {3} and sum(m.n_domains for m in metrics) == rows["clusters/domain_clusters"]
+    assert rows["rejects"] == 0 and rows["fetched"] == rows["segments"]
+    crawls = P.publish_crawls(spark, out, str(tmp_path / "published"))
+    assert len(crawls) == 6 == len(metrics)
+    panels = ST.read_panel(spark, str(tmp_path / "published"), crawls)
+    assert sum(p.count() for p in panels.values()) == rows["ideology/domain_ideology"]
+    assert ST.read_metrics(spark, str(tmp_path / "published")).count() == 6
+
+
+def test_too_many_lost_records_stop_the_study(spark, tmp_path):
+    located, root = I.archive(spark, SF)
+    lost = located.withColumn("warc_filename", F.lit("absent.warc"))
+    with pytest.raises(RuntimeError, match="could not be read"):
+        P.collect_corpus(lost, root, str(tmp_path / "study"), domains=["example.com"])
+    assert spark.read.parquet(str(tmp_path / "study" / "rejects")).count() > 0
 
 
 def test_missing_column_is_an_error(spark, tmp_path):

@@ -1,7 +1,5 @@
 import hashlib
 import random
-import re
-import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -9,8 +7,8 @@ from corpuslens.functions import text as X
 from plans import plan
 
 PIECES = [
-    "a", "b", "é", "ﬁ", "½", "@", ".", "http://", "https://", " ", " ", "\n", "\n", "\t", "\x85", "\xa0", " ",
-    " ", "　", "\x1c", "\x1f", "​", "’", "x", "www", "/", "Ab c",
+    "a", "b", "é", "ﬁ", "½", "@", ".", "http://", "https://", " ", " ", "\n", "\n", "\t", "\x85", "\xa0", "\u2003",
+    "\u2028", "\u3000", "\x1c", "\x1f", "\u200b", "’", "x", "www", "/", "Ab c",
 ]
 
 
@@ -20,18 +18,41 @@ def _texts(spark, n=4000):
     return spark.createDataFrame([(t,) for t in [*made, "", None]], "t string")
 
 
-def _clean(t, n):
-    if not t:
-        return None
-    t = re.sub(r"https?://\S+", " ", t.lower())
-    t = re.sub(r"\s+", " ", re.sub(r"\S+@\S+\.\S+", " ", t)).strip()
-    return t if len(t.split()) >= n else None
+def _pairs(spark, pairs, f):
+    """What ``f`` makes of the first of each pair, next to the second."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "i int, t string")
+    got = {r.i: r.got for r in df.select("i", f(F.col("t")).alias("got")).collect()}
+    return [(pairs[i][0], got[i]) for i in range(len(pairs))], pairs
+
+
+CLEANED = [
+    ("See HTTP://a.b/c?d and HTTPS://x now", "see and now"),
+    ("write to Me@Host.org or not", "write to or not"),
+    ("a@b is kept, as is @c.d and e@.", "a@b is kept, as is @c.d and e@."),
+    ("(mail: <me@host.org>,) ends", "(mail: ends"),
+    ("one\t\ttwo\n\nthree\xa0four\u3000five", "one two three four five"),
+    ("one\x1ctwo\x85three", "one two three"),
+    ("zero\u200bwidth stays", "zero\u200bwidth stays"),
+    ("http:// alone", "http:// alone"),
+    ("xhttp://glued/y z", "x z"),
+    ("single", None), ("http://only.link", None), ("", None), (None, None), (" \n ", None),
+]
+
 
+def test_cleaned_texts(spark):
+    got, want = _pairs(spark, CLEANED, lambda t: X.clean_for_nlp(t, 2))
+    assert got == want
 
-def test_clean_for_nlp_equals_plain_python(spark):
-    rows = _texts(spark).select("t", X.clean_for_nlp(F.col("t"), 2).alias("c")).collect()
-    assert [r.c for r in rows] == [_clean(r.t, 2) for r in rows]
-    assert any(r.c for r in rows)
+
+def test_cleaned_texts_hold_no_link_and_cleaning_again_changes_nothing(spark):
+    once = _texts(spark).select(X.clean_for_nlp(F.col("t"), 2).alias("c")).filter("c IS NOT NULL")
+    rows = once.select("c", X.clean_for_nlp(F.col("c"), 2).alias("again")).collect()
+    assert len(rows) > 1000
+    for r in rows:
+        assert r.c == r.c.lower() and r.c == r.c.strip() and "  " not in r.c and len(r.c.split(" ")) >= 2
+        assert not any(w.startswith(("http://", "https://")) and len(w) > 8 for w in r.c.split(" "))
+        # A link that was cut out can leave a mail address behind, never a longer text.
+        assert r.again is None or len(r.again) <= len(r.c)
 
 
 def test_long_unbroken_run_is_cleaned_in_linear_time(spark):
@@ -45,23 +66,35 @@ def test_filter_on_cleaned_text_cleans_once(spark):
     assert plan(df).count("lower(") == 1
 
 
-def test_normalize_text_equals_plain_python(spark):
-    def norm(t):
-        t = unicodedata.normalize("NFKC", t)
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[^\S\n]+", " ", t)).strip()
+NORMALIZED = [
+    ("ﬁne ½ Ⅷ", "fine 1⁄2 VIII"), ("e\u0301", "é"), ("a \t b\xa0\xa0c", "a b c"), ("a\r\nb", "a \nb"), ("a\n\n\n\n\nb", "a\n\nb"),
+    ("a\n\nb", "a\n\nb"), ("a\n \n \nb", "a\n \n \nb"), (" \n a \n ", "a"), ("\u3000wide\u3000", "wide"), ("", ""), (None, None),
+]
+
 
-    rows = _texts(spark).select("t", X.normalize_text(F.col("t")).alias("n")).collect()
-    assert [r.n for r in rows] == [None if r.t is None else norm(r.t) for r in rows]
+def test_normalized_texts(spark):
+    got, want = _pairs(spark, NORMALIZED, X.normalize_text)
+    assert got == want
 
 
-def test_fingerprint_of_opening_and_of_whole_text(spark):
-    def fp(t, n):
-        return hashlib.md5(" ".join(t[:n].lower().split()).encode()).hexdigest() if t else None
+def test_normalising_again_changes_nothing(spark):
+    rows = _texts(spark).select(X.normalize_text(F.col("t")).alias("n")).filter("n IS NOT NULL")
+    for r in rows.select("n", X.normalize_text(F.col("n")).alias("again")).collect():
+        assert r.again == r.n and "\n\n\n" not in r.n and "  " not in r.n and "\xa0" not in r.n
 
-    rows = _texts(spark).select(
-        "t", X.text_fingerprint(F.col("t"), 10).alias("a"), X.text_fingerprint(F.col("t"), None).alias("b")
-    ).collect()
-    assert [(r.a, r.b) for r in rows] == [(fp(r.t, 10), fp(r.t, None)) for r in rows]
+
+def test_fingerprints_of_texts(spark):
+    texts = ["The  Cat\n", "the cat", "THE\tCAT", "\xa0the cat ", "the cats", "", None]
+    got, _ = _pairs(spark, [(t, None) for t in texts], X.text_fingerprint)
+    keys = [k for _, k in got]
+    assert set(keys[:4]) == {hashlib.md5(b"the cat").hexdigest()} and keys[4] not in keys[:4] and keys[5:] == [None, None]
+
+
+def test_texts_that_differ_after_a_long_equal_opening_have_two_keys(spark):
+    opening = "word " * 200
+    df = spark.createDataFrame([(opening + "one",), (opening + "two",)], "t string")
+    assert df.select(X.text_fingerprint(F.col("t"))).distinct().count() == 2
+    assert df.select(X.text_fingerprint(F.col("t"), 500)).distinct().count() == 1
 
 
 def test_non_ascii_ratio(spark):
