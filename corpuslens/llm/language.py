@@ -5,7 +5,7 @@ are counted over all learning documents; the centroids of a language come from s
 over a bounded sample of its documents. A text gets the language of the centroid with the largest
 cosine. It is rejected where that centroid is hardly nearer than chance: n-grams that fall into
 random buckets have a cosine too, which grows with their number, so the bound does as well, and a
-short text is not rejected for being short.
+short text is not rejected for being short, nor a long one for holding many different n-grams.
 """
 
 from collections.abc import Iterator
@@ -25,8 +25,9 @@ DIMENSIONS = 1 << BUCKET_BITS
 SIZES = (2, 3, 4)
 #: Documents that the centroids of one language are fitted on, centroids, and languages at most.
 SAMPLE, CENTROIDS, LANGUAGES = 500, 4, 200
-#: A text is rejected where its cosine is below this multiple of the cosine that chance gives.
-MARGIN = 2.0
+#: A text is rejected where its cosine is below this multiple of the cosine that chance gives, and has come by less than
+#: this part of the way from there to 1.
+MARGIN, RISE = 2.0, 0.25
 UNKNOWN = "und"
 _TEXTS = 128
 _FOLD = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -152,7 +153,7 @@ def fit_languages(
     return LanguageModel(idf, np.array([r["vector"] for r in found], dtype=np.float32), [r["lang"] for r in found])
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None, margin: float = MARGIN) -> DataFrame:
+def predict_languages(docs: DataFrame, model: LanguageModel | None, margin: float = MARGIN, rise: float = RISE) -> DataFrame:
     """(doc_id, lang_pred, score, rejected), one row per row of (doc_id, text).
 
     The score is the cosine to the nearest centroid. A null text, a text without a letter, and
@@ -180,7 +181,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, margin: floa
                 for i, c in zip(here, best):
                     lang[i] = model.languages[c]
                 score[here] = np.clip(top, 0, 1)
-                rejected[here] = top < margin * x.sum(axis=1) * model.centroids.mean(axis=1)[best]
+                chance = x.sum(axis=1) * model.centroids.mean(axis=1)[best]
+                rejected[here] = (top < margin * chance) & (top - chance < rise * (1 - chance))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(lang), pa.array(score), pa.array(rejected)],
                 ["doc_id", "lang_pred", "score", "rejected"],
