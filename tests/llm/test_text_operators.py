@@ -193,8 +193,8 @@ def test_passages_are_found_with_their_places(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end): r for r in passages.shared_passages(docs).collect()}
     assert (2, 1, 7, 87, 20, 100) in got and (3, 1, 0, 79, 20, 100) in got
     assert got[3, 1, 0, 79, 20, 100].matched == 78
-    # Halves that come from different documents make up one passage.
-    assert {k[:4] for k in got if k[0] == 6} == {(6, 4, 0, 30), (6, 5, 30, 60)}
+    # Seeds of the first half point to document 4, all others to document 5, whose chain is extended to the left.
+    assert {k[:4] for k in got if k[0] == 6} == {(6, 4, 0, 30), (6, 5, 0, 60)}
     assert {k[0] for k in got} == {2, 3, 6, 10}
     cut = dict(map(tuple, passages.cut_passages(docs.filter("doc_id IN (1, 2)"), passages.shared_passages(docs)).collect()))
     assert cut[1] == rows[0][1] and len(cut[2].split()) == 7
