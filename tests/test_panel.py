@@ -21,8 +21,8 @@ def test_join_keys(spark):
         "url string, crawl string, sentiment_compound double, partisan_score double, sentiment_pos double, "
         "sentiment_neg double",
     )
-    assert G.join_scores(topics, scores).count() == 4
-    both = G.composite_ideology(G.join_scores(topics, scores, ["crawl", "url"])).collect()
+    assert G.join_scores(topics, scores, ["url"]).count() == 4
+    both = G.composite_ideology(G.join_scores(topics, scores)).collect()
     assert sorted((r.crawl, r.composite_ideology) for r in both) == [("c1", -0.25), ("c2", 0.55)]
 
 
