@@ -5,6 +5,7 @@ import warnings
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,31 +82,27 @@ def read_topic_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("topic").cast("int").alias("topic"), "label")
 
 
-def _crawl_dirs(spark: SparkSession, base: str, crawls: Iterable[str], suffix: str) -> dict[str, str]:
-    """Existing ``base/crawl/suffix`` folders; warns about the missing ones."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def read_panel(
+    spark: SparkSession, base: str, crawls: Iterable[str], schema: T.StructType = schemas.DOMAIN_IDEOLOGY
+) -> dict[str, DataFrame]:
+    """The ideology panels ``base/crawl/domain_ideology`` by crawl; see ``build_panel`` for their union.
+
+    Warns about crawls without a panel, and fails if there is none at all.
+    """
     found = {}
     for crawl in crawls:
-        path = f"{base.rstrip('/')}/{crawl}/{suffix}"
-        p = hadoop.Path(path)
-        if p.getFileSystem(conf).exists(p):
-            found[crawl] = path
-        else:
-            warnings.warn(f"no data for crawl {crawl} at {path}", stacklevel=3)
+        path = f"{base.rstrip('/')}/{crawl}/domain_ideology"
+        try:
+            found[crawl] = read_stage(spark, path, schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            warnings.warn(f"no data for crawl {crawl} at {path}", stacklevel=2)
     if not found:
         raise ValueError(f"no crawl data under {base}")
     return found
 
 
-def read_panel(
-    spark: SparkSession, base: str, crawls: Iterable[str], schema: T.StructType = schemas.DOMAIN_IDEOLOGY
-) -> dict[str, DataFrame]:
-    """The ideology panels ``base/crawl/domain_ideology`` by crawl; see ``build_panel`` for their union."""
-    dirs = _crawl_dirs(spark, base, crawls, "domain_ideology")
-    return {crawl: read_stage(spark, path, schema) for crawl, path in dirs.items()}
-
-
 def read_metrics(spark: SparkSession, base: str, crawls: Iterable[str] = ("*",)) -> DataFrame:
     """Polarization metrics ``base/crawl/polarization_metrics`` of many crawls, crawl taken from the path."""
     paths = [f"{base.rstrip('/')}/{c}/polarization_metrics" for c in crawls]
