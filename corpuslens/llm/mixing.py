@@ -104,6 +104,7 @@ def mix_sources(
     most_copies: int = MOST_COPIES,
     seed: str = "mix",
     value: Column | None = None,
+    row: Column | None = None,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), one row per row of ``docs``.
 
@@ -111,12 +112,13 @@ def mix_sources(
     have size 0 and only the certain copies. ``value``, positive, makes some documents of a source
     likelier than others; without it all are equal. A null source is a source of its own, and one
     without words has target 0. Equal ranks, as of rows that repeat an id, are told apart by id and
-    place. Other columns are not read.
+    place. With ``row``, a number of each row, ``row`` is in the result too. Other columns are not read.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     worth = F.lit(1.0) if value is None else value.cast("double")
     each = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "source", words.alias("size"), worth.alias("value")
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), "doc_id", "source",
+        words.alias("size"), worth.alias("value"),
     )
     each = stored(each, "sizes")
     per = stored(
@@ -139,5 +141,6 @@ def mix_sources(
     extra = _cut(open_.select("row", "doc_id", "source", "rank", "size", "rest"))
     taken = F.col("sure") + F.coalesce(F.col("extra"), F.lit(False)).cast("int")
     return known.join(extra, "row", "left").withColumn("copies", taken).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+        *([] if row is None else ["row"]),
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
     )

@@ -116,6 +116,24 @@ def test_stages_keep_their_columns_and_survive_odd_rows(spark, odd_docs):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_rows_with_null_and_repeated_ids_get_their_own_decisions(spark):
+    ((item,),) = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY length(text) DESC LIMIT 1").fetchall()
+    clean = [f"{w} some clean words of a text that no benchmark holds at all" for w in ("one", "two", "three")]
+    kinds = "doc_id bigint, text string, lang string, source string"
+    docs = spark.createDataFrame([(i, t, "en", "a") for i in (None, 7) for t in (item, clean[0])], kinds)
+    got = stages.decontaminate(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, clean[0]), (7, clean[0])]
+    docs = spark.createDataFrame([(None, "12 34", "en", "a"), (None, clean[0], "en", "a"), (7, "!!", "en", "a"), (7, clean[1], "en", "a")], kinds)
+    assert {r.text for r in stages.language(spark, docs, SF).collect()} <= set(clean)
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in ((None, "x"), (None, "x"), (7, "y"), (7, "y"), (None, "y"), (8, "z"), (7, "z"))], kinds)
+    got = stages.exact_dedup(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x"), (7, "y"), (7, "z")]
+    long = [" ".join(f"{k}w{n}" for n in range(100)) for k in (0, 1)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in ((None, long[0]), (None, long[0] + " end"), (7, long[1]), (7, long[1] + " end"))], kinds)
+    got = stages.near_dedup(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in got) == [(0, "0"), (7, "1")]
+
+
 def test_pipeline_over_the_tables(spark):
     """Against a plain computation: copies, near copies and leaks go, all that is left is mixed whole."""
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
