@@ -38,6 +38,10 @@ _NAMES = frozenset(
 )
 _MAIN = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Names that tell how a page is laid out or what is allowed on it, such as has-sidebar and comments-open.
+_LAYOUT_STARTS = tuple(f"{w}{c}" for w in ("no", "has", "with", "without") for c in "-_")
+_LAYOUT_ENDS = tuple(f"{c}{w}" for w in ("open", "closed", "enabled", "disabled") for c in "-_")
+
 
 FURNITURE, OPEN, ARTICLE = 0, 1, 2
 
@@ -53,8 +57,17 @@ def _is_furniture(name: str, attrs: dict[str, str]) -> bool:
         return True
     if attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return not _NAMES.isdisjoint(_WORD.findall(named))
+    return False
+
+
+def _is_named_furniture(name: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether words of the class or id say so; ids of headings and paragraphs of an article are anchors."""
+    if name in ("html", "body"):
+        return False
+    own = "" if in_article and (name == "p" or name in _HEADINGS) else attrs.get("id", "")
+    named = [n for n in f"{attrs.get('class', '')} {own}".lower().split()
+             if not n.startswith(_LAYOUT_STARTS) and not n.endswith(_LAYOUT_ENDS)]
+    return not _NAMES.isdisjoint(_WORD.findall(" ".join(named)))
 
 
 def _tags(page: str) -> list[tuple[int, int, bool, str, str]]:
@@ -94,14 +107,16 @@ def lines(page: str) -> list[tuple[int, str]]:
 
     FURNITURE: menus, headers, footers, forms, adverts, comments and the like. ARTICLE: what else
     stands in an ``article`` or ``main`` element. OPEN: all the rest. Scripts, styles and the title
-    are no text. A heading in the header of an article belongs to the article.
+    are no text. Class and id do not make furniture of an article or main that is in no article, nor
+    of what holds all of these on the page, unless all are named as furniture. A heading in the header of an article belongs to the article.
     """
     tags = _tags(page)
     ends = _ends(tags)
     mains = [i for i, t in enumerate(tags) if t[3] in _MAIN and not t[2]]
+    declared = any(not _is_named_furniture(tags[i][3], _attributes(tags[i][4]), False) for i in mains)
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    skip_to = article_to = header_to = heading_to = -1
+    skip_to = nested_to = article_to = header_to = heading_to = -1
     state = OPEN
 
     def flush() -> None:
@@ -120,6 +135,11 @@ def lines(page: str) -> list[tuple[int, str]]:
             continue
         known = _attributes(attrs) if not closing and name and skip_to <= i else {}
         furniture = not closing and bool(name) and skip_to <= i and name not in _VOID and _is_furniture(name, known)
+        if not closing and name and skip_to <= i and name not in _VOID and not furniture:
+            spared = name in _MAIN and i >= nested_to
+            if declared and i < mains[0] and ends.get(i, 0) > mains[-1]:
+                spared = True
+            furniture = not spared and _is_named_furniture(name, known, i < article_to)
         if name in _INLINE and not furniture:
             continue
         if name or i == len(tags):
@@ -134,6 +154,8 @@ def lines(page: str) -> list[tuple[int, str]]:
                 skip_to = stop
             elif name in _MAIN:
                 article_to = max(article_to, stop)
+                if name == "article":
+                    nested_to = max(nested_to, stop)
         if name in _HEADINGS and not closing:
             heading_to = ends.get(i, i + 1)
         if i < skip_to or (i < header_to and i >= heading_to):

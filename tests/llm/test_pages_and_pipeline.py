@@ -27,6 +27,23 @@ def test_states_of_lines():
     assert lines("plain &lt; text<br>more") == [(OPEN, "plain < text"), (OPEN, "more")] and lines("") == []
 
 
+@pytest.mark.parametrize("page", [
+    "<div id=content class='has-sidebar'><div class='sidebar'>S</div><article><p>text</p></article></div>",
+    "<div id=page class='widget'><article><p>text</p></article></div>",
+    "<article class='post no-sidebar comments-open'><p>text</p></article>",
+    "<main class='related'><p>text</p></main>",
+    "<article><h2 id='related-work'>text</h2></article>", "<article><p id='notice-1'>text</p></article>",
+])
+def test_names_do_not_delete_an_article(page):
+    assert [t for s, t in lines(page) if s == ARTICLE] == ["text"]
+
+
+def test_names_still_mark_furniture_around_articles():
+    page = "<div class=sidebar><article>teaser</article></div><article>text<article class=comment>nice</article></article>"
+    assert lines(page) == [(FURNITURE, "teaser"), (ARTICLE, "text"), (FURNITURE, "nice")]
+    assert lines("<div>open</div><div id=comments><article class=comment>nice</article></div>") == [(OPEN, "open"), (FURNITURE, "nice")]
+
+
 @pytest.mark.parametrize("part", ["<b>x", "<blockquote>word", "<a ", '<a "', "<nav>", "</p>", "<!--", "<script>"])
 def test_hostile_pages_take_linear_time(part):
     page = part * (500_000 // len(part))
