@@ -25,13 +25,57 @@ from corpuslens.llm.markup import ARTICLE, OPEN, lines
 from corpuslens.llm.scratch import stored
 
 
+#: Bits of the table of an alignment that are held at a time.
+TABLE_BITS = 1 << 28
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each line of ``a`` the row of the table: bit j is clear where the common subsequence with b[: j + 1] is longer than with b[:j]."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        both = row & masks.get(x, 0)
+        row = ((row + both) | (row - both)) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with b[:0], b[:1], ..."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _aligned(a: list[int], b: list[int], first: int) -> list[int]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        # Half of a with the part of b that suits both halves best, then the other half.
+        n = len(a) // 2
+        j = int(np.argmax(_lengths(a[:n], b) + _lengths(a[n:][::-1], b[::-1])[::-1]))
+        return _aligned(a[:n], b[:j], first) + _aligned(a[n:], b[j:], first + n)
+    table, found = list(_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if table[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or table[i - 1] >> (j - 1) & 1:
+            found.append(first + i)
+            j -= 1
+    return found[::-1]
+
+
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``.
+    """Places in ``a`` of a longest common subsequence with ``b``, repeated lines included.
 
-    Equal ends are taken off first. The rest is a longest common subsequence of lines by the
-    longest increasing run of matches, in the order of a with the places in b falling: time
-    grows with the number of equal pairs, of which a line that both repeat gives many, so the k-th
-    repetition in ``a`` is paired with the k-th repetition in ``b``.
+    Equal ends are taken off first. The table of the rest is made by rows of bits, so a machine word
+    stands for 64 pairs of lines; if it is large, it is made in halves.
     """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -39,35 +83,7 @@ def shared_lines(a: list[int], b: list[int]) -> list[int]:
     hi = 0
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    found = [*range(lo), *range(len(a) - hi, len(a))]
-    places: dict[tuple[int, int], int] = {}
-    seen: dict[int, int] = {}
-    for j in range(lo, len(b) - hi):
-        k = seen[b[j]] = seen.get(b[j], -1) + 1
-        places[b[j], k] = j
-    seen.clear()
-    pairs = []
-    for i in range(lo, len(a) - hi):
-        k = seen[a[i]] = seen.get(a[i], -1) + 1
-        if (a[i], k) in places:
-            pairs.append((i, places[a[i], k]))
-    # Patience sorting: tails[n] is the pair that ends the best run of n + 1 pairs.
-    tails: list[int] = []
-    values: list[int] = []
-    before = [-1] * len(pairs)
-    for n, (_, j) in enumerate(pairs):
-        at = int(np.searchsorted(values, j)) if values else 0
-        if at == len(tails):
-            tails.append(n)
-            values.append(j)
-        else:
-            tails[at], values[at] = n, j
-        before[n] = tails[at - 1] if at else -1
-    n = tails[-1] if tails else -1
-    while n >= 0:
-        found.append(pairs[n][0])
-        n = before[n]
-    return sorted(found)
+    return [*range(lo), *_aligned(a[lo : len(a) - hi], b[lo : len(b) - hi], lo), *range(len(a) - hi, len(a))]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:

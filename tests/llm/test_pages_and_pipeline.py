@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,21 @@ def test_shared_lines_are_a_common_subsequence(a, b):
         assert len(places) == best[-1][-1]
 
 
+@pytest.mark.parametrize("most", [pages.TABLE_BITS, 20])
+def test_shared_lines_are_a_longest_common_subsequence_with_repeats(monkeypatch, most):
+    monkeypatch.setattr(pages, "TABLE_BITS", most)
+    assert pages.shared_lines([1, 2, 1, 3], [2, 1, 4]) == [1, 2]
+    draw = random.Random(1)
+    for _ in range(300):
+        a, b = ([draw.randrange(4) for _ in range(draw.randrange(25))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        places, rest = pages.shared_lines(a, b), iter(b)
+        assert len(places) == best[-1][-1] and places == sorted(set(places)) and all(a[i] in rest for i in places)
+
+
 def test_template_lines_go_where_markup_is_silent(spark):
     def page(body):
         return f"<body><div>Welcome to the site</div><p>{body}</p><div>All rights kept</div></body>"
