@@ -290,3 +290,12 @@ def test_scores_of_odd_and_no_rows(odd_docs, no_docs):
     got = scoring.score_texts(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
     assert scoring.score_texts(no_docs).collect() == []
+
+
+def test_training_windows_cover_whole_texts(spark):
+    """Every subword and the end of every text is once what follows in a window."""
+    texts = ["", "one", "some words of a text " * 3, "many different words in a long text " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = scoring.gathered(docs, scoring.subword_ranks(scoring.TOKENIZER)).collect()
+    followed = sum(r.n for r in found if r.kind == scoring.PAIR)
+    assert sum(r.n for r in found if r.kind == scoring.WINDOW) == followed > 400 * 7
