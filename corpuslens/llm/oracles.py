@@ -59,6 +59,36 @@ SELECT q.doc_id, size, source_size, target, (sure + CASE WHEN extra THEN 1 ELSE
 FROM q LEFT JOIN e ON q.doc_id = e.doc_id"""
 
 
+# The CRC-32 of a word by its table, made from its polynomial; one logarithm for each bucket.
+RESAMPLE = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), n)) AS t),
+dw AS (SELECT doc_id, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+bw AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+dn AS (SELECT doc_id, word, count(*) AS n FROM dw GROUP BY doc_id, word),
+sn AS (SELECT word, sum(n) AS n FROM dn GROUP BY word),
+tn AS (SELECT word, count(*) AS n FROM bw GROUP BY word),
+v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM sn UNION SELECT word FROM tn)),
+k AS (SELECT word, xor(4294967295, list_reduce(list_transform(range(1, 1 + len(x) // 2), lambda i: cast('0x' || substring(x, 2 * i - 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295)) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, cast(sum(n) AS DOUBLE) AS s FROM sn JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, cast(sum(n) AS DOUBLE) AS t FROM tn JOIN k USING (word) GROUP BY bucket),
+g AS (SELECT b.bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) /
+    ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)))) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s ON b.bucket = s.bucket LEFT JOIN t ON b.bucket = t.bucket),
+w AS (SELECT doc_id, sum(n) AS n, cast(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM dn JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+a AS (SELECT d.doc_id, cast(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + cast(floor(-1000 * ln(-ln((cast('0x' || substring(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM a WHERE n_features >= 20)
+SELECT a.doc_id, n_features, weight, score,
+  CASE WHEN r <= (SELECT 10 * count(*) // 100 FROM r) THEN r END AS rank
+FROM a LEFT JOIN r ON a.doc_id = r.doc_id"""
+
+
 REVISITS = rf"""
 WITH r AS ({RECORDS_SQL}),
 b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&]utm_[a-z]+=[^&]*', '', 'g'), '^([^?&]*)&', '\1?') AS bare FROM r),
@@ -84,4 +114,5 @@ def llm_oracles() -> dict[str, str]:
         "op6_exact_dedup": EXACT_DEDUP,
         "op7_decontaminate": DECONTAMINATE,
         "op10_mix": MIX,
+        "op13_resample": RESAMPLE,
     }

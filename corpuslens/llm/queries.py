@@ -8,10 +8,13 @@ from corpuslens.llm.mixing import mix_sources
 from corpuslens.llm.naming import exact_duplicates
 from corpuslens.llm.pages import extract_text
 from corpuslens.llm.passages import shared_passages
+from corpuslens.llm.periods import run_report, with_loops
 from corpuslens.llm.quality import classify_quality
+from corpuslens.llm.resampling import resample
 from corpuslens.llm.revisits import header_lines, records_of_pages, resolve_revisits
 from corpuslens.llm.scoring import score_texts
 from corpuslens.llm.simhash import near_duplicates
+from corpuslens.llm.toxicity import classify_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +62,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_quality, op2_revisits, op3_language, op4_simhash, op5_lm_score, op6_exact_dedup, op7_decontaminate, op8_passages, op9_extract, op10_mix)}
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(with_loops(table(spark, sf_dir, "documents")))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+LLM_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_revisits, op3_language, op4_simhash, op5_lm_score, op6_exact_dedup, op7_decontaminate,
+        op8_passages, op9_extract, op10_mix, op11_periods, op12_toxicity, op13_resample,
+    )
+}
