@@ -181,7 +181,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
         F.xxhash64("doc_id", F.lit("toxic")).alias("place"),
     )
     chosen = chosen.distinct().orderBy("place", "toxic").limit(most)
-    rows = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
     return rows.select("place", "toxic", F.col("text").cast("string").cast("binary").alias("text"))
 
 
@@ -342,6 +342,8 @@ def fit_toxicity(
     each = sample.mapInArrow(features, "place bigint, toxic int, n int, features binary")
     ordered = each.repartition(1).sortWithinPartitions("place", "toxic", "n", "features")
     r = ordered.mapInArrow(fit, "w array<double>, a double, b double").first()
+    if r is None:
+        return Machine(landmarks, np.zeros(len(landmarks)), 0.0, 0.0, 0.0)
     w = np.array(r["w"])
     return Machine(landmarks, white @ w[:-1], float(w[-1]), r["a"], r["b"])
 
