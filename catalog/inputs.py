@@ -152,6 +152,44 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     return read_stage(spark, path, CRAWL_INDEX), root
 
 
+def warc_record(kind: str, url: str, date: str, block: bytes) -> bytes:
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def archive_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Archive files made from ``pages``, in a shared folder by crawl.
+
+    Each task writes two files of its own for a crawl, one of gzip members and one that is not
+    compressed. Before each response stands the request for it.
+    """
+    root = shared_dir(spark, "crawl-data")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_store(root)
+        own, files = uuid.uuid4().hex, {}
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                zipped = r.page_id % 3 > 0
+                key = (r.crawl, "warc.gz" if zipped else "warc")
+                if key not in files:
+                    store.create_dir(f"{base}/{r.crawl}", recursive=True)
+                    files[key] = store.open_output_stream(f"{base}/{r.crawl}/part-{own}.{key[1]}", compression=None)
+                http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + r.html.encode()
+                for data in (
+                    warc_record("request", r.url, r.fetch_time, b"GET / HTTP/1.1\r\n\r\n"),
+                    warc_record("response", r.url, r.fetch_time, http),
+                ):
+                    files[key].write(gzip.compress(data) if zipped else data)
+        for f in files.values():
+            f.close()
+        yield pd.DataFrame({"files": [len(files)]})
+
+    written = pages(spark, sf_dir).mapInPandas(write, "files bigint")
+    written.write.parquet(shared_dir(spark, "files"))
+    return root
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame as a stage table, as later stages get it, so that several readers compute it once."""
     spark = df.sparkSession

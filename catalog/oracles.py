@@ -330,6 +330,14 @@ def oracles() -> dict[str, str]:
         "crawl_rows": statement("SELECT url, fetch_time, crawl FROM fx_index WHERE crawl = 'CC-MAIN-2024-10'"),
         "parse_records": statement("SELECT url, crawl, fetch_time, html FROM fx_pages"),
         "fetch_records": statement("SELECT url, crawl, fetch_time, html FROM fx_pages"),
+        # The body of a record goes on to the blank lines before the next record.
+        "read_archive": statement(
+            "SELECT url, crawl, fetch_time, concat(html, chr(13), chr(10), chr(13), chr(10)) AS html FROM fx_pages"
+        ),
+        "archive_types": statement(
+            f"SELECT crawl, record_type, count(*) AS n FROM fx_pages, (VALUES ('request'), ('response')) t(record_type) "
+            f"WHERE crawl IN {_list(I.CRAWLS[:3])} GROUP BY crawl, record_type"
+        ),
         "topic_labels": """
             SELECT cast(i - 1 AS INTEGER) AS topic, round(greatest(-1.0, least(1.0, avg(x::DOUBLE) * 10)), 6) AS label
             FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i""",

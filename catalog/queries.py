@@ -26,6 +26,7 @@ from corpuslens.plans import stages as P
 from corpuslens.plans.corpus import ascii_only, min_words
 from corpuslens.sources import archive as A
 from corpuslens.sources import stages as ST
+from corpuslens.sources.warc import read_archive as read_warc
 
 DIGITS = 8
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,22 @@ def fetch_records(spark, sf_dir):
     return A.parse_records(A.fetched(A.fetch_records(located, root))).select("url", "crawl", "fetch_time", "html")
 
 
+@query
+def read_archive(spark, sf_dir):
+    """A folder of archive files read without a manifest, in ranges that cut most files."""
+    root = I.archive_folder(spark, sf_dir)
+    records = read_warc(spark, root, splitBytes=256 * 1024)
+    return A.parse_records(A.fetched(records).drop("record_type", "warc_length")).select("url", "crawl", "fetch_time", "html")
+
+
+@query
+def archive_types(spark, sf_dir):
+    """Records by type and crawl: bodies are not kept, and other crawls' files not opened."""
+    root = I.archive_folder(spark, sf_dir)
+    heads = read_warc(spark, root, ["crawl", "record_type"], types="all", crawls=",".join(I.CRAWLS[:3]), splitBytes=256 * 1024)
+    return heads.groupBy("crawl", "record_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def fetch_rejects(spark, sf_dir):
     """Records that cannot be read: every fifth lies past the end of its file, every seventh in no file."""

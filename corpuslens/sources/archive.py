@@ -1,13 +1,15 @@
 """Archived web records: byte-range reads and record parsing."""
 
 import gzip
+import os
+import re
 import time
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import NativeFile, fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens import schemas
@@ -26,6 +28,17 @@ def _inflate(data: bytes) -> bytes:
         return data
 
 
+def absolute_root(spark: SparkSession, root: str) -> str:
+    """A path that means the same in every task: a relative one is resolved here, where Spark would resolve it, too."""
+    if not root:
+        raise ValueError("no folder given")
+    if root.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+        return root
+    if not spark.conf.get("spark.hadoop.fs.defaultFS", "file:").startswith("file:"):
+        raise ValueError(f"a relative folder of a remote store cannot be read by range; give its URI: {root}")
+    return os.path.abspath(root)
+
+
 def open_store(root: str) -> tuple[fs.FileSystem, str]:
     """Arrow file system and path of a folder given as a path or URI."""
     if root.startswith("file:/") and not root.startswith("file://"):
@@ -56,6 +69,7 @@ def fetch_records(manifest: DataFrame, root: str, tasks: int | None = None, atte
     does not fit the file is final. See ``fetched`` and ``rejected``.
     """
     schemas.require_columns(manifest, *schemas.SEGMENTS.fieldNames())
+    root = absolute_root(manifest.sparkSession, root)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = open_store(root)

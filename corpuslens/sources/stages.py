@@ -1,5 +1,6 @@
 """Stage tables on shared storage: Parquet between stages, JSON and CSV for small results."""
 
+import re
 import uuid
 import warnings
 from collections.abc import Iterable
@@ -11,16 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens import schemas
+from corpuslens.sources.archive import absolute_root
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the checkpoint folder of the cluster.
 
-    Without that setting the folder lies in the warehouse, the other place that all executors share.
+    Without that setting the folder lies in the warehouse, the other place that all executors
+    share; a warehouse in a local folder is that only if Spark runs on one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        local = root.startswith(("/", "file:")) or not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root)
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share, not {root}")
+    root = absolute_root(spark, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
