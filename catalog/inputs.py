@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.defaults import CRAWLS
+from corpuslens.defaults import CRAWLS, DOMAINS, LEFT_PHRASES, RIGHT_PHRASES, URL_KEYWORDS
 from corpuslens.functions.topics import dominant_topic
 from corpuslens.functions.urls import crawl_month
 from corpuslens.operators.clusters import domain_features
@@ -72,7 +72,20 @@ INDEX_SQL = f"""SELECT url, fetch_time, concat('part-', cast(page_id % 4 AS stri
     CASE WHEN page_id % 10 = 0 THEN 'application/pdf' ELSE 'text/html' END AS content_mime_detected, crawl
     FROM ({PAGES_SQL}) p"""
 
-# The word lists below occur in the invented text; the default lists do not.
+def chosen(key: str, values: list[str]) -> str:
+    """The value that an integer expression selects; an empty text for one number more than there are values."""
+    cases = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
+    return f"(CASE cast(floor({key}) AS bigint) % {len(values) + 1} {cases} ELSE '' END)"
+
+
+# The default lists do not occur in the invented text, so entries of them are planted: phrases in two places of
+# the documents, domains and keywords in addresses. Some hosts only end like a listed domain, or lie below one.
+PHRASED_SQL = f"""SELECT doc_id, concat({chosen('doc_id', LEFT_PHRASES)}, ' ', text, ' Said ', upper({chosen('doc_id / 3', RIGHT_PHRASES)}),
+    '. ', {chosen('doc_id / 7', LEFT_PHRASES + RIGHT_PHRASES)}) AS text FROM documents"""
+LISTED_SQL = f"""SELECT page_id, concat('https://', CASE page_id % 5 WHEN 0 THEN 'www.' WHEN 1 THEN 'Edition.' WHEN 2 THEN 'not' ELSE '' END,
+    {chosen('page_id', DOMAINS)}, '/x', {chosen('page_id / 5', URL_KEYWORDS)}, cast(page_id AS string)) AS url FROM pages"""
+
+# The word lists below occur in the invented text.
 LEFT = ["of the", "to be"]
 RIGHT = ["and the", "in the"]
 TERMS = {
@@ -100,6 +113,16 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).selectExpr("page_id", "crawl", "fetch_time", "url", RAW_COLUMN)
 
 
+def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with phrases of the default lists."""
+    return spark.sql(PHRASED_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages at addresses of the default domains and keywords."""
+    return spark.sql(LISTED_SQL.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+
+
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted pages: documents with the word count taken at extraction."""
     d = docs(spark, sf_dir)

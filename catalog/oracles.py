@@ -3,7 +3,7 @@
 from catalog import inputs as I
 from catalog.queries import DIGITS
 from catalog.stopwords import ENGLISH
-from corpuslens.defaults import EXTRA_STOP_WORDS, FEATURES, FIVE_LABELS
+from corpuslens.defaults import DOMAINS, EXTRA_STOP_WORDS, FEATURES, FIVE_LABELS, LEFT_PHRASES, RIGHT_PHRASES, URL_KEYWORDS
 
 R = DIGITS
 
@@ -68,8 +68,8 @@ def phrases(t: str, ps: list[str]) -> str:
     ) + ")"
 
 
-def slant(t: str) -> str:
-    left, right = phrases(t, I.LEFT), phrases(t, I.RIGHT)
+def slant(t: str, left: list[str] = I.LEFT, right: list[str] = I.RIGHT) -> str:
+    left, right = phrases(t, left), phrases(t, right)
     return f"(CASE WHEN {left} + {right} > 0 THEN ({right} - {left}) / ({left} + {right}) ELSE 0.0 END)"
 
 
@@ -306,9 +306,11 @@ _SUMMARY_SELECT = (
     f"cluster, {_rounded(['ideology_score_mean', 'avg_sentiment_mean'])}, doc_count_sum, domain_count"
 )
 _METRICS = "polarization_index, between_cluster_var, within_cluster_var, n_clusters, n_domains"
-_DOMAIN_HIT = "(" + " OR ".join(
-    f"{domain('url')} = {_str(d)} OR {domain('url')} LIKE {_str('%.' + d)}" for d in I.DOMAIN_LIST
-) + ")"
+def _domain_hit(domains: list[str]) -> str:
+    return " OR ".join(f"{domain('url')} = {_str(d)} OR {domain('url')} LIKE {_str('%.' + d)}" for d in domains)
+
+
+_DOMAIN_HIT = _domain_hit(I.DOMAIN_LIST)
 _WANTED = f"content_mime_detected = 'text/html' AND ({_DOMAIN_HIT} OR contains(lower(url), '/en/'))"
 _Z = ", ".join(
     f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), {R}) AS z_{c}" for c in FEATURES
@@ -385,6 +387,15 @@ def oracles() -> dict[str, str]:
         "phrase_counts": _documents(
             f"{phrases('text', I.LEFT)} AS left_count, {phrases('text', I.RIGHT)} AS right_count"
         ),
+        "default_phrases": statement(
+            f"SELECT doc_id, cast({phrases('text', LEFT_PHRASES)} AS BIGINT) AS left_count, cast({phrases('text', RIGHT_PHRASES)} AS BIGINT) AS right_count, "
+            f"round({slant('text', LEFT_PHRASES, RIGHT_PHRASES)}, {R}) AS score FROM ({I.PHRASED_SQL})"
+        ),
+        "default_index": statement(
+            f"SELECT page_id, url, 'domain' AS kept_by FROM ({I.LISTED_SQL}) WHERE {_domain_hit(DOMAINS)} UNION ALL "
+            f"SELECT page_id, url, 'keyword' AS kept_by FROM ({I.LISTED_SQL}) "
+            f"WHERE {' OR '.join(f'contains(lower(url), {_str(k)})' for k in URL_KEYWORDS)}"
+        ),
         "partisan_score": _documents(f"round({slant('text')}, {R}) AS score"),
         "lexicon_sentiment": statement(f"SELECT doc_id, {_rounded(_SENTIMENT)} FROM sentiment", **first),
         "lexicon_sentiment_whole": statement(f"SELECT doc_id, {_rounded(_SENTIMENT)} FROM sentiment", **whole),

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from catalog import inputs as I
 from corpuslens import schemas
+from corpuslens.defaults import LEFT_PHRASES, RIGHT_PHRASES
 from corpuslens.functions import text as X
 from corpuslens.functions import topics as TP
 from corpuslens.functions import urls as U
+from corpuslens.functions.phrases import phrase_counts as count_phrases
 from corpuslens.operators import clusters as C
 from corpuslens.operators import dedup as D
 from corpuslens.operators import extract as E
@@ -190,6 +192,17 @@ def filter_index(spark, sf_dir):
     return kept.drop("warc_record_offset", "warc_record_length")
 
 
+@query
+def default_index(spark, sf_dir):
+    """The 45 default domains and 19 default keywords over addresses that hold some of them."""
+    rows = I.listed(spark, sf_dir)
+    kept = {
+        "domain": IX.filter_domains(rows), "keyword": IX.filter_url_keywords(rows),
+    }
+    found = [df.select("page_id", "url", F.lit(name).alias("kept_by")) for name, df in kept.items()]
+    return found[0].unionByName(found[1])
+
+
 @query
 def sample_index(spark, sf_dir):
     return IX.sample_index(I.index(spark, sf_dir), 0.5).select("url", "crawl")
@@ -265,6 +278,15 @@ def partisan_score(spark, sf_dir):
     return rounded(_documents(spark, sf_dir, score=X.partisan_score(F.col("text"), I.LEFT, I.RIGHT)))
 
 
+@query
+def default_phrases(spark, sf_dir):
+    """The thirty default phrases, counted in one pass over each text."""
+    t = F.col("text")
+    counts = count_phrases(t, LEFT_PHRASES, RIGHT_PHRASES)
+    found = I.phrased(spark, sf_dir).select("doc_id", counts.alias("n"), X.partisan_score(t).alias("score"))
+    return rounded(found.select("doc_id", F.col("n")[0].alias("left_count"), F.col("n")[1].alias("right_count"), "score"))
+
+
 @query
 def lexicon_sentiment(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -13,6 +13,10 @@ from corpuslens.defaults import (
     MIN_CORPUS_WORDS,
     RIGHT_PHRASES,
 )
+from corpuslens.functions.phrases import phrase_counts
+
+#: Up to so many phrases are counted one by one in the JVM; more by one automaton, with the same result.
+FEW_PHRASES = 8
 
 # White space outside ASCII. One range test passes over nearly every character, and the
 # look-behind names the exact ones.
@@ -141,7 +145,11 @@ def partisan_score(
     text: Column, left: Iterable[str] = LEFT_PHRASES, right: Iterable[str] = RIGHT_PHRASES
 ) -> Column:
     """Slant of the partisan phrases in a text, -1 (left) to 1 (right)."""
-    return slant(phrase_count(text, left), phrase_count(text, right))
+    left, right = list(left), list(right)
+    if len(left) + len(right) <= FEW_PHRASES:
+        return slant(phrase_count(text, left), phrase_count(text, right))
+    counts = phrase_counts(text, left, right)
+    return slant(counts[0], counts[1])
 
 
 def tokenize(text: Column, min_length: int = 3) -> Column:

@@ -136,7 +136,7 @@ def test_only_normalisation_uses_python(spark):
     df = _texts(spark, 10)
     t = F.col("t")
     native = df.select(
-        X.clean_for_nlp(t), X.text_fingerprint(t), X.non_ascii_ratio(t), X.partisan_score(t), X.tokenize(t),
+        X.clean_for_nlp(t), X.text_fingerprint(t), X.non_ascii_ratio(t), X.partisan_score(t, ["of the"], ["in the"]), X.tokenize(t),
     )
     assert "Python" not in plan(native)
     assert "BatchEvalPython" not in plan(df.select(X.normalize_text(t)))
