@@ -93,7 +93,8 @@ TERMS = {
     "with": 2.1, "is": -0.4,
 }
 NEGATORS = ["on", "en", "ist"]
-BOOSTERS = {"by": 0.293, "in": 0.293, "de": -0.293}
+BOOSTERS = {"by": 0.293, "in": 0.293, "de": -0.293, "to the": 0.293, "in of": -0.293, "and a to": 0.293}
+IDIOMS = {"the of": 2.0, "for the": -1.8, "of and": 0.0, "in the to": 1.2, "to the a": -1.4, "the la": 1.0}
 DOMAIN_LIST = ["src1.example.com", "src2.example.com", "example.org"]
 
 
@@ -230,7 +231,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(corpus(spark, sf_dir), lexicon(spark), LEFT, RIGHT, NEGATORS, BOOSTERS)
+    return score_documents(corpus(spark, sf_dir), lexicon(spark), LEFT, RIGHT, NEGATORS, BOOSTERS, idioms=IDIOMS)
 
 
 def doc_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,21 +116,23 @@ def sentiment(source: str, key: str, n_chars: int | None) -> dict[str, str]:
         + ") AS t(term, valence)",
         "heads": f"SELECT {key}, {text} AS t FROM {source}",
         "raw_words": rf"""SELECT {key}, unnest(ws) AS raw, generate_subscripts(ws, 1) AS i FROM (
-            SELECT {key}, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS ws FROM heads)""",
+            SELECT {key}, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS ws FROM heads)""",
         "stripped": f"""SELECT {key}, i, CASE WHEN length(trim(raw, {punctuation})) <= 2 THEN raw
-            ELSE trim(raw, {punctuation}) END AS w FROM raw_words""",
-        "near": f"""SELECT *, lag(w, 1) OVER o AS p1, lag(w, 2) OVER o AS p2, lag(w, 3) OVER o AS p3,
+            ELSE trim(raw, {punctuation}) END AS x FROM raw_words""",
+        "cased": f"""SELECT {key}, i, lower(x) AS w, loud AND bool_or(NOT loud) OVER (PARTITION BY {key}) AS loud
+            FROM (SELECT *, x = upper(x) AND x <> lower(x) AS loud FROM stripped)""",
+        "near": f"""SELECT *, lag(loud, 1) OVER o AS l1, lag(loud, 2) OVER o AS l2, lag(loud, 3) OVER o AS l3, lead(w, 2) OVER o AS nxt2, lag(w, 1) OVER o AS p1, lag(w, 2) OVER o AS p2, lag(w, 3) OVER o AS p3,
             lead(w, 1) OVER o AS nxt, min(CASE WHEN w = 'but' THEN i END) OVER (PARTITION BY {key}) AS but
-            FROM stripped WINDOW o AS (PARTITION BY {key} ORDER BY i)""",
+            FROM cased WINDOW o AS (PARTITION BY {key} ORDER BY i)""",
         "known": """SELECT n.*, l.valence, l1.term IS NOT NULL AS in1, l2.term IS NOT NULL AS in2,
             l3.term IS NOT NULL AS in3, ln.term IS NOT NULL AS innxt
             FROM near n LEFT JOIN lex l ON n.w = l.term LEFT JOIN lex l1 ON n.p1 = l1.term
             LEFT JOIN lex l2 ON n.p2 = l2.term LEFT JOIN lex l3 ON n.p3 = l3.term
             LEFT JOIN lex ln ON n.nxt = ln.term""",
-        "v0": """SELECT *, CASE WHEN valence IS NULL THEN 0.0
+        "v0": """SELECT *, a0 + CASE WHEN NOT loud OR valence IS NULL THEN 0 WHEN a0 > 0 THEN 0.733 ELSE -0.733 END AS a FROM (SELECT *, CASE WHEN valence IS NULL THEN 0.0
             WHEN coalesce(p1, '') = 'no' OR coalesce(p2, '') = 'no'
               OR (coalesce(p3, '') = 'no' AND coalesce(p1, '') IN ('or', 'nor')) THEN valence * -0.74
-            WHEN w = 'no' AND innxt THEN 0.0 ELSE valence END AS a FROM known""",
+            WHEN w = 'no' AND innxt THEN 0.0 ELSE valence END AS a0 FROM known)""",
     }
     extra = {
         1: "",
@@ -141,14 +143,21 @@ def sentiment(source: str, key: str, n_chars: int | None) -> dict[str, str]:
            "WHEN coalesce(p3, '') = 'without' AND (coalesce(p2, '') = 'doubt' OR coalesce(p1, '') = 'doubt') THEN 1.0 ",
     }
     for d, damping in ((1, 1.0), (2, 0.95), (3, 0.9)):
-        boost = f"(CASE WHEN a < 0 THEN -{_boost(f'p{d}')} ELSE {_boost(f'p{d}')} END * {damping})"
+        louder = f"CASE WHEN NOT l{d} THEN 0 WHEN a > 0 THEN 0.733 ELSE -0.733 END"
+        boost = f"(CASE WHEN p{d} NOT IN {_list(I.BOOSTERS)} THEN 0.0 WHEN a < 0 THEN -{_boost(f'p{d}')} + {louder} ELSE {_boost(f'p{d}')} + {louder} END * {damping})"
         steps[f"v{d}"] = f"""SELECT * REPLACE (CASE WHEN valence IS NOT NULL AND p{d} IS NOT NULL AND NOT in{d}
             THEN (a + {boost}) * CASE {extra[d]}WHEN {_negated(f'p{d}')} THEN -0.74 ELSE 1.0 END
             ELSE a END AS a) FROM v{d - 1}"""
+    around = ["w || ' ' || nxt || ' ' || nxt2", "w || ' ' || nxt", "p1 || ' ' || w", "p2 || ' ' || p1 || ' ' || w", "p2 || ' ' || p1",
+              "p3 || ' ' || p2 || ' ' || p1", "p3 || ' ' || p2"]
+    idiom = " ".join(f"WHEN {_str(p)} THEN {v}::DOUBLE" for p, v in I.IDIOMS.items())
+    steps["vi"] = f"""SELECT * REPLACE (CASE WHEN valence IS NOT NULL AND p3 IS NOT NULL AND NOT in3
+        THEN coalesce({', '.join(f"CASE {x} {idiom} END" for x in around)}, a) + {' + '.join(_boost(around[k]) for k in (5, 6, 4))}
+        ELSE a END AS a) FROM v3"""
     steps["v4"] = f"""SELECT *, CASE WHEN w IN {_list(I.BOOSTERS)} OR (w = 'kind' AND coalesce(nxt, '') = 'of') THEN 0.0
         ELSE CASE WHEN coalesce(p1, '') = 'least' AND NOT in1 AND coalesce(p2, '') NOT IN ('at', 'very')
             THEN a * -0.74 ELSE a END END
-        * CASE WHEN but IS NULL THEN 1.0 WHEN i < but THEN 0.5 WHEN i > but THEN 1.5 ELSE 1.0 END AS v FROM v3"""
+        * CASE WHEN but IS NULL THEN 1.0 WHEN i < but THEN 0.5 WHEN i > but THEN 1.5 ELSE 1.0 END AS v FROM vi"""
     steps["sums"] = f"""SELECT {key}, round(sum(v), 9) AS s, round(sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END), 9) AS up,
         round(sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END), 9) AS down, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS calm
         FROM v4 GROUP BY {key}"""

@@ -290,13 +290,13 @@ def default_phrases(spark, sf_dir):
 @query
 def lexicon_sentiment(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rounded(S.lexicon_sentiment(docs, I.lexicon(spark), I.NEGATORS, I.BOOSTERS))
+    return rounded(S.lexicon_sentiment(docs, I.lexicon(spark), I.NEGATORS, I.BOOSTERS, idioms=I.IDIOMS))
 
 
 @query
 def lexicon_sentiment_whole(spark, sf_dir):
     docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rounded(S.lexicon_sentiment(docs, I.lexicon(spark), I.NEGATORS, I.BOOSTERS, max_chars=None))
+    return rounded(S.lexicon_sentiment(docs, I.lexicon(spark), I.NEGATORS, I.BOOSTERS, max_chars=None, idioms=I.IDIOMS))
 
 
 @query

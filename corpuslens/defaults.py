@@ -100,6 +100,12 @@ DAMPENERS = [
 
 BOOST = 0.293
 
+# Phrases with a valence of their own in the same scheme.
+IDIOMS = {
+    "the shit": 3, "the bomb": 3, "bad ass": 1.5, "badass": 1.5, "bus stop": 0.0, "yeah right": -2,
+    "kiss of death": -1.5, "to die for": 3, "beating heart": 3.1, "broken heart": -2.9,
+}
+
 BOILERPLATE_TAGS = [
     "script", "style", "nav", "footer", "header", "aside", "form", "noscript",
     "iframe", "ads", "advertisement",

@@ -11,16 +11,18 @@ from corpuslens.defaults import (
     AMPLIFIERS,
     BOOST,
     DAMPENERS,
+    IDIOMS,
     LEFT_PHRASES,
     NEGATORS,
     RIGHT_PHRASES,
 )
-from corpuslens.functions.text import head, partisan_score, plain_spaces
+from corpuslens.functions.text import bind, head, partisan_score, plain_spaces
 from corpuslens.schemas import require_columns
 
 # --- fixed values: the published rule-based scheme (Hutto & Gilbert, 2014) ---
 NEGATION = -0.74
 NEVER_SO = 1.25
+CAPITALS = 0.733
 DISTANCE_DAMPING = [1.0, 0.95, 0.9]
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION, MAX_EXCLAMATIONS = 0.292, 4
@@ -45,8 +47,8 @@ def _look_up(rows: DataFrame, lexicon: DataFrame, word: str, name: str) -> DataF
 
 
 def _words(text: Column) -> Column:
-    """Words of a lower-cased text; outer punctuation goes unless two or fewer characters remain."""
-    tokens = F.filter(F.split(plain_spaces(F.lower(text)), r"[\s\x1c-\x1f]+"), lambda w: w != "")
+    """Words of a text as they are written; outer punctuation goes unless two or fewer characters remain."""
+    tokens = F.filter(F.split(plain_spaces(text), r"[\s\x1c-\x1f]+"), lambda w: w != "")
 
     def strip(w: Column) -> Column:
         bare = F.trim(w, F.lit(PUNCTUATION))
@@ -55,6 +57,24 @@ def _words(text: Column) -> Column:
     return F.transform(tokens, strip)
 
 
+def _capitals(words: Column) -> Column:
+    """For each word a number whose bits tell whether it and the three words before it are in capitals.
+
+    Capitals only mean something where other words have none: otherwise the array is empty.
+    """
+    upper = F.transform(words, lambda w: ((w == F.upper(w)) & (w != F.lower(w))).cast("int"))
+
+    def bits(flags: Column) -> Column:
+        def before(i: Column, k: int) -> Column:
+            return F.coalesce(F.get(flags, i - k), F.lit(0)) * (1 << k)
+
+        some = F.array_contains(flags, 1) & F.array_contains(flags, 0)
+        each = F.transform(flags, lambda u, i: u + before(i, 1) + before(i, 2) + before(i, 3))
+        return F.when(some, each).otherwise(F.array().cast("array<int>"))
+
+    return bind(upper, bits)
+
+
 def _count(text: Column, mark: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
@@ -68,12 +88,22 @@ def _emphasis(text: Column) -> Column:
     return bangs + asked
 
 
-def _boost(word: Column, boosters: Mapping[str, float]) -> Column:
+def _value(term: Column, values: Mapping[str, float]) -> Column:
+    """The value of a term, null for others: one set look-up for each different value."""
     by_value: dict[float, list[str]] = {}
-    for w, v in boosters.items():
+    for w, v in values.items():
         by_value.setdefault(float(v), []).append(w)
-    cases = [F.when(word.isin(ws), F.lit(v)) for v, ws in by_value.items()]
-    return F.coalesce(*cases, F.lit(0.0))
+    return F.coalesce(*[F.when(term.isin(ws), F.lit(v)) for v, ws in by_value.items()], F.lit(None).cast("double"))
+
+
+def _phrases(values: Mapping[str, float], *places: tuple[Column, ...]) -> list[Column]:
+    """The value of the words at each of the places together. Lengths that no phrase has are not looked up."""
+    by_length: dict[int, dict[str, float]] = {}
+    for phrase, v in values.items():
+        by_length.setdefault(phrase.count(" ") + 1, {})[phrase] = v
+    # Joined only if no word is absent.
+    return [_value(F.concat(words[0], *[c for w in words[1:] for c in (F.lit(" "), w)]), by_length[len(words)])
+            for words in places if len(words) in by_length]
 
 
 def _negated(word: Column, negators: Iterable[str]) -> Column:
@@ -84,19 +114,25 @@ def _is(word: Column, *values: str) -> Column:
     return F.coalesce(word.isin(*values), F.lit(False))
 
 
-def _valence_columns(negators: list[str], boosters: Mapping[str, float]) -> list[dict[str, Column]]:
+def _valence_columns(
+    negators: list[str], boosters: Mapping[str, float], idioms: Mapping[str, float]
+) -> list[dict[str, Column]]:
     """Successive projections that turn the lexicon valence of a word into its valence in context.
 
-    ``p1, p2, p3`` are the words before ``w``, ``next`` the one after; ``in_1`` to ``in_3`` and
-    ``in_next`` tell whether those are lexicon terms.
+    ``p1, p2, p3`` are the words before ``w``, ``next, next2`` those after; ``in_1`` to ``in_3`` and
+    ``in_next`` tell whether those are lexicon terms, ``capitals`` which words are in capitals.
     """
-    w, p1, p2, p3 = (F.col(c) for c in ("w", "p1", "p2", "p3"))
+    w, p1, p2, p3, after, after2 = (F.col(c) for c in ("w", "p1", "p2", "p3", "next", "next2"))
     base = F.col("base")
+
+    def loud(k: int) -> Column:
+        return F.coalesce(F.col("capitals").bitwiseAND(1 << k) != 0, F.lit(False))
+
     after_no = (
         _is(p1, "no") | _is(p2, "no") | (_is(p3, "no") & _is(p1, "or", "nor"))
     )
     base = F.when(after_no, base * NEGATION).when((w == "no") & F.col("in_next"), F.lit(0.0)).otherwise(base)
-    steps = [{"v": base}]
+    steps = [{"v": base}, {"v": F.col("v") + F.when(~loud(0), 0.0).when(F.col("v") > 0, CAPITALS).otherwise(-CAPITALS)}]
     never_so_2 = _is(p2, "never") & _is(p1, "so", "this")
     never_so_3 = (_is(p3, "never") & _is(p2, "so", "this")) | _is(p1, "so", "this")
     factors = [
@@ -108,11 +144,22 @@ def _valence_columns(negators: list[str], boosters: Mapping[str, float]) -> list
         .when(_is(p3, "without") & (_is(p2, "doubt") | _is(p1, "doubt")), F.lit(1.0))
         .when(_negated(p3, negators), F.lit(NEGATION)),
     ]
-    for prior, known, damping, factor in zip((p1, p2, p3), ("in_1", "in_2", "in_3"), DISTANCE_DAMPING, factors):
+    for k, (prior, known, damping, factor) in enumerate(
+        zip((p1, p2, p3), ("in_1", "in_2", "in_3"), DISTANCE_DAMPING, factors), start=1
+    ):
         v = F.col("v")
-        boost = _boost(prior, boosters) * F.when(v < 0, -damping).otherwise(damping)
-        moved = (v + boost) * F.coalesce(factor, F.lit(1.0))
+        boost = _value(prior, boosters) * F.when(v < 0, -1.0).otherwise(1.0)
+        boost = boost + F.when(~loud(k), 0.0).when(v > 0, CAPITALS).otherwise(-CAPITALS)
+        moved = (v + F.coalesce(boost, F.lit(0.0)) * damping) * F.coalesce(factor, F.lit(1.0))
         steps.append({"v": F.when(prior.isNotNull() & ~F.col(known), moved).otherwise(v)})
+    # Phrases around the word, the last in force first, replace its valence; degree phrases before it add to it.
+    around = _phrases(idioms, (w, after, after2), (w, after), (p1, w), (p2, p1, w), (p2, p1), (p3, p2, p1), (p3, p2))
+    degree = _phrases({b: v for b, v in boosters.items() if " " in b}, (p3, p2, p1), (p3, p2), (p2, p1))
+    phrased = F.coalesce(*around, F.col("v"))
+    for d in degree:
+        phrased = phrased + F.coalesce(d, F.lit(0.0))
+    # The row that stands for the text itself has no word.
+    steps.append({"v": F.when(w.isNotNull() & p3.isNotNull() & ~F.col("in_3"), phrased).otherwise(F.col("v"))})
     least = _is(p1, "least") & ~F.col("in_1") & ~_is(p2, "at", "very")
     v = F.when(least, F.col("v") * NEGATION).otherwise(F.col("v"))
     # Degree words carry no valence of their own.
@@ -136,13 +183,16 @@ def lexicon_sentiment(
     boosters: Mapping[str, float] = BOOSTERS,
     text_col: str = "text",
     max_chars: int | None = None,
+    idioms: Mapping[str, float] = IDIOMS,
 ) -> DataFrame:
     """``docs`` without the text, plus ``sentiment_compound, _pos, _neg, _neu``.
 
     ``lexicon`` has one row (term, valence) per term. Scored words are found by a join of the
     words of each text with the lexicon; Spark broadcasts a table whose size is known to be
     small, which a stored lexicon's is, and shuffles a larger one. The words of a text are summed up in their map
-    task, so one narrow row per text is shuffled. Rules for capitals, emoji and idioms are left out.
+    task, so one narrow row per text is shuffled. ``boosters`` and ``idioms`` may have phrases of two
+    or three words; they count next to a scored word that has three words before it, the first of
+    which is not a term. Words in capitals weigh more where not all are. Emoji are left out.
     ``max_chars`` scores the beginning of each text only.
     """
     require_columns(docs, text_col)
@@ -152,10 +202,11 @@ def lexicon_sentiment(
     kept = [c for c in docs.columns if c != text_col]
     text = head(F.coalesce(F.col(text_col), F.lit("")), max_chars)
     prepared = docs.select(
-        *kept, F.monotonically_increasing_id().alias("_doc"), _words(text).alias("_words"), _emphasis(text).alias("_amp")
+        *kept, F.monotonically_increasing_id().alias("_doc"), _words(text).alias("_written"), _emphasis(text).alias("_amp")
     )
     words, n = F.col("_words"), F.col("_n")
-    counted = prepared.withColumns({"_n": F.size(words), "but": F.array_position(words, F.lit("but"))})
+    lowered = prepared.withColumns({"_words": F.transform("_written", F.lower), "_capitals": _capitals(F.col("_written"))})
+    counted = lowered.withColumns({"_n": F.size(words), "but": F.array_position(words, F.lit("but"))})
     # The word list next to itself, shifted: each row is a word with its neighbours. Shifting adds
     # rows behind the last word; the first of them stands for the text itself, so that texts
     # without hits stay.
@@ -166,17 +217,19 @@ def lexicon_sentiment(
         F.concat(F.array(none, none), words).alias("p2"),
         F.concat(F.array(none, none, none), words).alias("p3"),
         F.slice(words, 2, F.greatest(n - 1, F.lit(0))).alias("next"),
+        F.slice(words, 3, F.greatest(n - 2, F.lit(0))).alias("next2"),
+        F.col("_capitals").alias("capitals"),
     )
     rows = counted.select(*kept, "_doc", "_amp", "_n", "but", F.posexplode(near).alias("_pos", "_near"))
     rows = rows.select(
         *kept, "_doc", "_amp", "_n", "but", (F.col("_pos") + 1).alias("i"),
-        *[F.col("_near")[name].alias(name) for name in ("w", "p1", "p2", "p3", "next")],
+        *[F.col("_near")[name].alias(name) for name in ("w", "p1", "p2", "p3", "next", "next2", "capitals")],
     )
     hits = _look_up(rows, lexicon, "w", "base")
     hits = hits.filter(F.col("base").isNotNull() | (F.col("i") == F.col("_n") + 1))
     for near_word, flag in (("p1", "in_1"), ("p2", "in_2"), ("p3", "in_3"), ("next", "in_next")):
         hits = _look_up(hits, lexicon, near_word, flag).withColumn(flag, F.col(flag).isNotNull())
-    scored = reduce(DataFrame.withColumns, _valence_columns(negators, boosters), hits)
+    scored = reduce(DataFrame.withColumns, _valence_columns(negators, boosters, idioms), hits)
 
     v = F.col("v")
     sums = scored.groupBy("_doc", "_n", "_amp", *kept).agg(
@@ -215,10 +268,11 @@ def score_documents(
     negators: Iterable[str] = NEGATORS,
     boosters: Mapping[str, float] = BOOSTERS,
     max_chars: int | None = None,
+    idioms: Mapping[str, float] = IDIOMS,
 ) -> DataFrame:
     """The corpus without its text, with sentiment and partisan score per document."""
     slanted = corpus.withColumn("partisan_score", partisan_score(F.col("text"), left, right))
-    return lexicon_sentiment(slanted, lexicon, negators, boosters, max_chars=max_chars)
+    return lexicon_sentiment(slanted, lexicon, negators, boosters, max_chars=max_chars, idioms=idioms)
 
 
 def sentiment_panel(

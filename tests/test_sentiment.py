@@ -10,7 +10,11 @@ from corpuslens.defaults import NEGATORS
 from corpuslens.operators import sentiment as S
 
 LEXICON = {"good": 1.9, "bad": -2.5, "great": 3.1, "no": -1.2, "kind": 2.4, "awful": -2.0, "very": 0.5, "best": 3.2}
+# Single words and phrases; some overlap, some hold terms of the lexicon.
+IDIOMS = {"plain word": 1.1, "good plain word": -2.0, "very good": 0.0, "word of plain": 2.2, "or nor": -1.5, "great at": 0.7}
+BOOSTERS = S.BOOSTERS | {"word plain": 0.4, "of at or": -0.5, "kind of": -0.293}
 PIECES = [
+    "GOOD", "BAD", "VERY", "Great", "BARELY", "PLAIN", "NO", "kind of", "word plain", "plain word", "sort of",
     *LEXICON, "not", "isn't", "never", "so", "this", "without", "doubt", "very", "barely", "but", "least", "at", "or", "nor",
     "of", "plain", "word", "good!", "bad?", "(great),", "?", "!", ":)", "but,", "a.",
 ]
@@ -19,10 +23,18 @@ PIECES = [
 def brute(text: str, max_chars: int | None = 2000) -> tuple[float, float, float, float]:
     """One text at a time, straight from the description of the scheme."""
     text = (text or "")[:max_chars]
-    words = []
-    for t in text.lower().split():
+    written = []
+    for t in text.split():
         bare = t.strip(string.punctuation)
-        words.append(t if len(bare) <= 2 else bare)
+        written.append(t if len(bare) <= 2 else bare)
+    words = [t.lower() for t in written]
+    differ = 0 < sum(t.isupper() for t in written) < len(written)
+
+    def louder(i, v):
+        return 0 if not differ or not written[i].isupper() else 0.733 if v > 0 else -0.733
+
+    def phrase(i, j, known):
+        return known.get(" ".join(words[i:j])) if 0 <= i and j <= len(words) else None
 
     def word(i):
         return words[i] if i >= 0 else None
@@ -33,7 +45,7 @@ def brute(text: str, max_chars: int | None = 2000) -> tuple[float, float, float,
     values = []
     for i, w in enumerate(words):
         following = words[i + 1] if i + 1 < len(words) else None
-        if w not in LEXICON or w in S.BOOSTERS or (w == "kind" and following == "of"):
+        if w not in LEXICON or w in BOOSTERS or (w == "kind" and following == "of"):
             values.append(0.0)
             continue
         p1, p2, p3 = word(i - 1), word(i - 2), word(i - 3)
@@ -42,11 +54,13 @@ def brute(text: str, max_chars: int | None = 2000) -> tuple[float, float, float,
             v = 0.0
         if p1 == "no" or p2 == "no" or (p3 == "no" and p1 in ("or", "nor")):
             v = LEXICON[w] * -0.74
+        v += louder(i, v)
         for d, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
             p = word(i - d)
             if p is None or p in LEXICON:
                 continue
-            v += S.BOOSTERS.get(p, 0.0) * damp * (-1 if v < 0 else 1)
+            if p in BOOSTERS:
+                v += (BOOSTERS[p] * (-1 if v < 0 else 1) + louder(i - d, v)) * damp
             if d == 1:
                 v *= -0.74 if negated(p1) else 1
             elif d == 2:
@@ -63,6 +77,15 @@ def brute(text: str, max_chars: int | None = 2000) -> tuple[float, float, float,
                     pass
                 elif negated(p3):
                     v *= -0.74
+                for a, b in ((i - 1, i + 1), (i - 2, i + 1), (i - 2, i), (i - 3, i), (i - 3, i - 1)):
+                    if phrase(a, b, IDIOMS) is not None:
+                        v = phrase(a, b, IDIOMS)
+                        break
+                for b in (i + 2, i + 3):
+                    if phrase(i, b, IDIOMS) is not None:
+                        v = phrase(i, b, IDIOMS)
+                for a, b in ((i - 3, i), (i - 3, i - 1), (i - 2, i)):
+                    v += phrase(a, b, BOOSTERS) or 0.0
         if p1 == "least" and p1 not in LEXICON and p2 not in ("at", "very"):
             v *= -0.74
         values.append(v)
@@ -89,7 +112,7 @@ def _docs(spark, n=800):
 
 
 def _score(spark, docs, **more):
-    return S.lexicon_sentiment(docs, S.lexicon_table(spark, LEXICON), **more)
+    return S.lexicon_sentiment(docs, S.lexicon_table(spark, LEXICON), **{"boosters": BOOSTERS, "idioms": IDIOMS} | more)
 
 
 @pytest.mark.parametrize("max_chars", [2000, 40, None])
@@ -120,11 +143,49 @@ def test_a_lexicon_that_is_shuffled_gives_the_same_scores(spark):
 def test_a_lexicon_of_published_size(spark):
     made = {f"made{i}": 1.0 + i % 3 for i in range(7_500)}
     docs = _docs(spark, 200)
-    got = S.lexicon_sentiment(docs, S.lexicon_table(spark, LEXICON | made))
+    got = S.lexicon_sentiment(docs, S.lexicon_table(spark, LEXICON | made), boosters=BOOSTERS, idioms=IDIOMS)
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, _score(spark, docs).collect()))
 
 
+# Texts and scores as published with the scheme, and the valences that they need.
+PUBLISHED = [
+    ("VADER is smart, handsome, and funny.", 0.8316),
+    ("VADER is smart, handsome, and funny!", 0.8439),
+    ("VADER is very smart, handsome, and funny.", 0.8545),
+    ("VADER is VERY SMART, handsome, and FUNNY.", 0.9227),
+    ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342),
+    ("VADER is not smart, handsome, nor funny.", -0.7424),
+    ("The book was good.", 0.4404),
+    ("The book was kind of good.", 0.3832),
+    ("At least it isn't a horrible book.", 0.431),
+    ("Today SUX!", -0.5461),
+    ("Not bad at all", 0.431),
+]
+VALENCES = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "kind": 2.4, "horrible": -2.5, "sux": -1.5, "bad": -2.5}
+
+
+def test_published_examples(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PUBLISHED)], "doc_id int, text string")
+    got = S.lexicon_sentiment(docs, S.lexicon_table(spark, VALENCES))
+    assert {r.doc_id: r.sentiment_compound for r in got.collect()} == {i: v for i, (_, v) in enumerate(PUBLISHED)}
+
+
+def test_idioms_and_degree_phrases(spark):
+    texts = {
+        "they say that is the shit": 3.0, "the party was the bomb": 3.0, "it gave me the kiss of death": -1.5,
+        "well so it is bad ass": 1.5, "the film is just enough good": 1.9 - 0.293, "a film that is sort of good": 1.9 - 0.293,
+        "is the bomb": -1.0, "the good ones are the bomb": 3.0 + 1.9,
+    }
+    lexicon = {"shit": -2.6, "bomb": -1.0, "kiss": 1.8, "death": -2.9, "bad": -2.5, "good": 1.9}
+    docs = spark.createDataFrame([(t, t) for t in texts], "id string, text string")
+    got = {r.id: r.sentiment_compound for r in S.lexicon_sentiment(docs, S.lexicon_table(spark, lexicon)).collect()}
+    want = {t: v / math.sqrt(v * v + 15) for t, v in texts.items()}
+    want["it gave me the kiss of death"] = None  # Both terms take the value of the phrase.
+    for t, v in want.items():
+        assert v is None and got[t] == round(-3.0 / math.sqrt(9 + 15), 4) or got[t] == round(v, 4), (t, got[t], v)
+
+
 def test_equal_rows_stay_apart(spark):
     docs = spark.createDataFrame([(1, "good")] * 3, "doc_id int, text string")
     rows = _score(spark, docs).collect()
