@@ -431,6 +431,25 @@ def oracles() -> dict[str, str]:
               round(cast(sum(cast(sentiment_pos AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_pos), {R}) AS avg_pos, round(cast(sum(cast(sentiment_neg AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_neg), {R}) AS avg_neg
             FROM scored GROUP BY domain, year_month HAVING count(*) >= 5"""),
         "ideology_panel": statement(f"SELECT {_PANEL_SELECT} FROM panel"),
+        # The parts of six crawls add up to the panel of all documents.
+        "merged_sentiment_panel": statement(f"""
+            SELECT domain, count(*) AS doc_count, round(cast(sum(cast(sentiment_compound AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_compound), {R}) AS avg_sentiment,
+              round(stddev_samp(sentiment_compound), {R}) AS std_sentiment, round(avg(partisan_score), {R}) AS avg_partisan_score,
+              round(stddev_samp(partisan_score), {R}) AS std_partisan_score,
+              round(cast(sum(cast(sentiment_pos AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_pos), {R}) AS avg_pos,
+              round(cast(sum(cast(sentiment_neg AS DECIMAL(20,4))) AS DOUBLE) / count(sentiment_neg), {R}) AS avg_neg
+            FROM scored GROUP BY domain HAVING count(*) >= 5"""),
+        "merged_ideology_panel": statement(f"""
+            SELECT domain, doc_count, {_rounded(_PANEL)}, median_topic, modal_topic FROM (
+              SELECT j.domain, count(*) AS doc_count, avg(composite_ideology) AS ideology_score,
+                stddev_samp(composite_ideology) AS ideology_std, avg(sentiment_compound) AS avg_sentiment,
+                avg(sentiment_pos) AS avg_pos_sentiment, avg(sentiment_neg) AS avg_neg_sentiment,
+                avg(topic_ideology_score) AS avg_topic_ideology, avg(partisan_score) AS avg_partisan_score,
+                percentile_disc(0.5) WITHIN GROUP (ORDER BY dominant_topic) AS median_topic, any_value(m.modal_topic) AS modal_topic
+              FROM joined j JOIN (
+                SELECT domain, dominant_topic AS modal_topic, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, dominant_topic) AS rn
+                FROM joined GROUP BY domain, dominant_topic) m ON j.domain = m.domain AND rn = 1
+              GROUP BY j.domain HAVING count(*) >= {I.PANEL_DOCS})"""),
         "domain_features": statement(f"SELECT domain, {_rounded(FEATURES)}, total_docs FROM features"),
         "domain_features_weighted": statement(
             "SELECT domain, " + ", ".join(

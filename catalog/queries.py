@@ -20,6 +20,7 @@ from corpuslens.operators import dedup as D
 from corpuslens.operators import extract as E
 from corpuslens.operators import ideology as G
 from corpuslens.operators import index as IX
+from corpuslens.operators import partials as PT
 from corpuslens.operators import sentiment as S
 from corpuslens.operators import terms as TM
 from corpuslens.operators import topics as M
@@ -360,6 +361,29 @@ def ideology_panel(spark, sf_dir):
     return rounded(I.panel(spark, sf_dir))
 
 
+def _parts(spark, frame, measures, topic=None):
+    """Parts of the six crawls, added one after the other and merged by domain."""
+    base = ST.shared_dir(spark, "parts")
+    whole = I.stored(frame, "scored")
+    for crawl in I.CRAWLS:
+        PT.add_part(ST.for_crawl(whole, crawl), base, crawl, measures, ("domain",), topic)
+    return PT.read_parts(spark, base, I.CRAWLS, ("domain",))
+
+
+@query
+def merged_sentiment_panel(spark, sf_dir):
+    """Sentiment by domain over all crawls, from stored parts of each."""
+    parts = _parts(spark, I.scored(spark, sf_dir), PT.SENTIMENT)
+    return rounded(PT.sentiment_panel_of(parts, 5, ("domain",)))
+
+
+@query
+def merged_ideology_panel(spark, sf_dir):
+    """Ideology by domain over all crawls, from stored parts of each."""
+    parts = _parts(spark, I.joined(spark, sf_dir), PT.IDEOLOGY, "dominant_topic")
+    return rounded(PT.ideology_panel_of(parts, I.PANEL_DOCS, ("domain",)))
+
+
 @query
 def domain_features(spark, sf_dir):
     return rounded(I.features(spark, sf_dir))
