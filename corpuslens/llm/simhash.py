@@ -16,10 +16,6 @@ variants reach, a bucket being the value of some bits of the variant, and the va
 bucket are made there. Buckets that would hold too many variants are cut by further bits inside
 the task, so memory is bounded. Members of one colliding group are linked to one member that is
 near enough to all others, verified, and reduced to a forest, so no group emits all its pairs.
-
-Radius 3 is near: whole texts of which a tenth of the words differ are farther apart. So
-``near_copies``, which is to find texts of a given resemblance, compares the shingles of texts
-that share one of their rarest shingles.
 """
 
 from collections.abc import Iterator
@@ -261,137 +257,3 @@ def near_duplicates(
     return each.join(final, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-#: For ``near_copies``: classes by which shingles are counted, and the representatives of a shingle in the second round and at most.
-CLASSES, SOME, MOST = 1 << 18, 16, 256
-
-
-def _class(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(CLASSES)).astype(np.int64)
-
-
-def prefix(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest of the different hashes, as many as two sets of this resemblance cannot both do without.
-
-    Hashes are in the order of the count of their class, then of their value. Of sets that have at
-    least ``similarity`` in common, the first common hash in this order is in the prefix of both.
-    """
-    order = np.lexsort((h, counts[_class(h)]))
-    return h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
-
-
-def _same(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
-
-
-def shingle_counts(read: DataFrame, shingle_words: int) -> np.ndarray:
-    """How many texts of (text) have each class of shingles, counting each shingle of a text once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES, dtype=np.int64)
-        for b in batches:
-            for t in b["text"].to_pylist():
-                np.add.at(counts, _class(np.unique(shingles(t or b"", shingle_words))), 1)
-        parts = counts.reshape(-1, 1024)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "n"]
-        )
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in rows["n"])
-        return pd.DataFrame({"part": rows["part"].iloc[:1], "n": [total.tobytes()]})
-
-    found = read.select("text").mapInArrow(run, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary")
-    return np.frombuffer(b"".join(bytes(r["n"]) for r in sorted(found.collect())), dtype=np.int64)
-
-
-def postings(read: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(shingle, doc_id, at, n, hub): the prefix of each text, its places in it, its number of shingles and how common they are."""
-    sent = read.sparkSession.sparkContext.broadcast(shingle_counts(read, shingle_words))
-    id_type = read.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
-        for b in batches:
-            sets = [np.unique(shingles(t or b"", shingle_words)) for t in b["text"].to_pylist()]
-            some = [prefix(h, counts, similarity) if len(h) else h for h in sets]
-            # The mean logarithm: high where a text has little of its own, as the middle of a family of variants.
-            hub = [int(1000 * np.log2(counts[_class(h)]).mean()) if len(h) else 0 for h in sets]
-            each = np.array([len(x) for x in some], dtype=np.int64)
-            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            own = np.repeat(np.arange(len(some)), each)
-            hashes = np.concatenate(some) if some else np.zeros(0, "<u8")
-            cols = [hashes.view(np.int64), at.astype(np.int32), np.array([len(h) for h in sets], np.int32)[own], np.array(hub, np.int32)[own]]
-            shingle, place, n, common = map(pa.array, cols)
-            yield pa.RecordBatch.from_arrays([shingle, b["doc_id"].take(pa.array(own)), place, n, common], names)
-
-    names = ["shingle", "doc_id", "at", "n", "hub"]
-    return read.mapInArrow(run, f"shingle bigint, doc_id {id_type}, at int, n int, hub int")
-
-
-def _near_pairs(read: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(u, v) of the pairs (u, v) whose different shingles have at least the similarity."""
-    id_type = read.schema["doc_id"].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("wanted")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(shingles(t or b"", shingle_words)).tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, pa.binary())], ["id", "shingles"])
-
-    few = read.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    known = stored(few.mapInArrow(sets, f"id {id_type}, shingles binary"), "shingles")
-    left = known.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    right = known.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = [_same(x, y) >= similarity for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist())]
-            at = pa.array(np.flatnonzero(near))
-            yield pa.RecordBatch.from_arrays([b["u"].take(at), b["v"].take(at)], ["u", "v"])
-
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return both.mapInArrow(compare, f"u {id_type}, v {id_type}")
-
-
-def near_copies(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of the documents that have near copies, from (doc_id, text).
-
-    Documents link where at least ``similarity`` of their different word shingles are common. That
-    holds only for documents that share a shingle of their prefixes, the rarest fifth. In rounds,
-    the members of each such shingle are compared exactly with representatives, which then leave
-    it, until all that are left of it are linked already; so every pair that could add a link is
-    compared, and a family of copies gives as many pairs as members. Texts without words and rows
-    without an id have no near copies.
-    """
-    read = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    each = stored(postings(read, shingle_words, similarity), "postings")
-    common = each.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    active = stored(each.join(common.select("shingle"), "shingle", "left_semi").withColumn("root", F.col("doc_id")), "active")
-    links, per = None, 1
-    while True:
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(per)).alias("part")
-        best = active.groupBy("shingle", part).agg(F.max(F.struct("hub", "doc_id", "at", "n", "root")).alias("rep"))
-        reps = stored(best.select("shingle", "rep"), "representatives")
-        sizes = F.col("n") + F.col("rep.n")
-        # As many can be common at most, if this shingle is the first that is.
-        most = F.least(F.col("n") - F.col("at"), F.col("rep.n") - F.col("rep.at"))
-        may = (F.col("root") != F.col("rep.root")) & (most >= sizes * similarity / (1 + similarity) - 1e-9)
-        may &= F.least("n", "rep.n") >= F.greatest("n", "rep.n") * similarity - 1e-9
-        pairs = active.join(reps, "shingle").filter(may)
-        pairs = pairs.select(F.greatest("doc_id", "rep.doc_id").alias("u"), F.least("doc_id", "rep.doc_id").alias("v")).distinct()
-        near = stored(_near_pairs(read, stored(pairs, "pairs"), shingle_words, similarity), "near")
-        if links is None or not near.isEmpty():
-            links = near if links is None else links.unionByName(near)
-            roots = connected_components(links)
-        gone = reps.select("shingle", F.col("rep.doc_id").alias("doc_id"))
-        left = active.drop("root").join(gone, ["shingle", "doc_id"], "left_anti").join(roots, F.col("doc_id") == F.col("node"), "left")
-        left = stored(left.withColumn("root", F.coalesce("root", "doc_id")).drop("node"), "left")
-        several = left.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        active = stored(left.join(several.select("shingle"), "shingle", "left_semi"), "active")
-        if active.isEmpty():
-            return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
-        per = SOME if per == 1 else min(MOST, 4 * per)

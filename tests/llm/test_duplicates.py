@@ -53,7 +53,6 @@ def test_exact_dedup_is_native(odd_docs):
 def test_nothing_from_nothing(no_docs):
     assert exact(no_docs) == []
     assert simhash.near_duplicates(no_docs).collect() == []
-    assert simhash.near_copies(no_docs).collect() == []
 
 
 def by_hand(text, k):
@@ -99,47 +98,3 @@ def test_components_of_a_long_path_and_a_star(spark):
     star = [(100 + i, 99) for i in range(1, 50)]
     roots = dict(map(tuple, connected_components(spark.createDataFrame(path + star, "u bigint, v bigint")).collect()))
     assert roots == {i: 0 for i in range(61)} | {99: 99} | {100 + i: 99 for i in range(1, 50)}
-
-
-def test_near_copies_are_found_and_others_left_alone(spark):
-    rng = np.random.default_rng(3)
-    base = [" ".join(rng.choice(5000, 300).astype(str)) for _ in range(30)]
-    rows = [(i, t) for i, t in enumerate(base)]
-    for i in range(0, 30, 3):
-        words = base[i].split()
-        words[rng.integers(300)] = "changed"
-        words[rng.integers(300)] = "twice"
-        rows.append((100 + i, " ".join(words)))
-    rows += [(500, None), (501, ""), (None, base[0])]
-    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("fp", F.lit(1)))
-    assert dict(map(tuple, found.collect())) == {k: i for i in range(0, 30, 3) for k in (i, 100 + i)}
-
-
-def test_near_copies_of_a_base_whose_id_is_in_the_middle(spark):
-    """Variants are near the base and not near one another; a shared passage takes both ends of the ids."""
-    rng = np.random.default_rng(7)
-    base = rng.choice(50_000, 400).astype(str)
-    rows = [(1000, " ".join(base))]
-    for i in range(60):
-        words = base.copy()
-        for at in rng.choice(80, 7, replace=False) * 5:
-            words[at] = f"own{i}x{at}"
-        rows.append((970 + i if i < 30 else 971 + i, " ".join(words)))
-    for i in (1, 2, 5000, 5001):
-        rows.append((i, " ".join([*base[:100], *rng.choice(50_000, 300).astype(str)])))
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
-    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert len(near) == 60 and all(1000 in p for p in near)
-    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert dict(map(tuple, found.collect())) == {i: 970 for i in range(970, 1031)}
-
-
-def test_prefixes_of_near_sets_meet():
-    rng = np.random.default_rng(8)
-    counts = rng.integers(1, 9, simhash.CLASSES)
-    for n in (1, 2, 5, 10, 33, 100):
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        for k in range(n // 4 + 1):
-            b = np.unique(np.concatenate((a[k:], rng.integers(0, 2**63, k // 2, dtype=np.uint64))))
-            if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
-                assert len(np.intersect1d(simhash.prefix(a, counts, 0.8), simhash.prefix(b, counts, 0.8)))
