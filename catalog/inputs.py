@@ -266,6 +266,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain_features(panel(spark, sf_dir), DOMAIN_DOCS)
 
 
+# Numbers of clusters whose centres are given, loadings of the six features, languages as topics.
+GIVEN_K = [2, 3, 5]
+LOADINGS = [[0.5, -0.25], [0.25, 0.5], [-0.125, 0.75], [0.0, 0.25], [0.375, -0.5], [-0.5, 0.125]]
+LANGS = ["de", "en", "es", "fr"]
 CLUSTER = "cast(substring(domain, 4, instr(domain, '.') - 4) AS int) % 5 AS cluster"
 
 

@@ -3,7 +3,18 @@
 from catalog import inputs as I
 from catalog.queries import DIGITS
 from catalog.stopwords import ENGLISH
-from corpuslens.defaults import DOMAINS, EXTRA_STOP_WORDS, FEATURES, FIVE_LABELS, LEFT_PHRASES, RIGHT_PHRASES, URL_KEYWORDS
+from corpuslens.defaults import (
+    DOMAINS,
+    EXTRA_STOP_WORDS,
+    FEATURES,
+    FIVE_LABELS,
+    LEFT_PHRASES,
+    NUM_TOPICS,
+    RIGHT_PHRASES,
+    TOP_TERMS,
+    URL_KEYWORDS,
+)
+from corpuslens.operators.bootstrap import REPLICATES, THRESHOLDS
 
 R = DIGITS
 
@@ -248,6 +259,19 @@ def polarization(source: str, crawl: str) -> str:
 
 CTES["metrics"] = polarization("clusters", "'all'")
 CTES["crawl_metrics"] = polarization("crawl_clusters", "crawl")
+_TIMES = " + ".join(f"(u >= {t})::INT" for t in THRESHOLDS)
+CTES["replicates"] = f"""
+    SELECT crawl, replicate, CASE WHEN b + w > 0 THEN b / (b + w) ELSE 0.0 END AS idx FROM (
+      SELECT crawl, replicate, sum(n * power(m - g, 2)) / sum(n) AS b, sum(n * v) / sum(n) AS w FROM (
+        SELECT *, sum(n * m) OVER (PARTITION BY crawl, replicate) / sum(n) OVER (PARTITION BY crawl, replicate) AS g FROM (
+          SELECT crawl, replicate, cluster, sum(t) AS n, any_value(m) AS m,
+            CASE WHEN sum(t) > 1 THEN sum(t * power(ideology_score - m, 2)) / (sum(t) - 1) ELSE 0.0 END AS v FROM (
+            SELECT *, sum(t * ideology_score) OVER c / sum(t) OVER c AS m FROM (
+              SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE {_TIMES} END AS t FROM (
+                SELECT crawl, cluster, ideology_score, replicate,
+                  cast('0x' || substring(md5('42:' || domain || ':' || replicate), 1, 8) AS BIGINT) AS u
+                FROM crawl_clusters, (SELECT unnest(range({REPLICATES + 1})) AS replicate) WHERE ideology_score IS NOT NULL)) WHERE t > 0
+            WINDOW c AS (PARTITION BY crawl, replicate, cluster)) GROUP BY crawl, replicate, cluster)) GROUP BY crawl, replicate)"""
 CTES["blocks"] = r"""
     SELECT page_id, list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
       '<(?:h1|p)>'), lambda b: regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -330,6 +354,28 @@ def _documents(column: str) -> str:
     return f"SELECT doc_id, {column} FROM documents"
 
 
+def _far(a: str, b: str) -> str:
+    return " + ".join(f"power({a}[{j}] - {b}[{j}], 2)" for j in range(1, len(FEATURES) + 1))
+
+
+_SCALED = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in FEATURES)
+CTES["scaled"] = f"SELECT domain, [{_SCALED}] AS z, row_number() OVER (ORDER BY domain) - 1 AS place FROM features"
+CTES["assigned"] = f"""
+    SELECT domain, k::INT AS k, cluster::INT AS cluster FROM (
+      SELECT s.domain, k, c.place AS cluster, row_number() OVER (PARTITION BY s.domain, k ORDER BY {_far('s.z', 'c.z')}, c.place) AS rn
+      FROM scaled s, (SELECT unnest({I.GIVEN_K}) AS k), scaled c WHERE c.place < k) WHERE rn = 1"""
+_NUMBER = " ".join(f"WHEN {_str(x)} THEN {i}" for i, x in enumerate(I.LANGS))
+CTES["halves"] = f"""
+    SELECT half, CASE WHEN half = 0 THEN t ELSE {len(I.LANGS) - 1} - t END AS topic, term, count(*)::DOUBLE AS w FROM (
+      SELECT doc_id % 2 AS half, CASE lang {_NUMBER} END AS t, unnest(ws) AS term FROM kept_tokens) WHERE t IS NOT NULL GROUP BY half, t, term"""
+CTES["cosines"] = """
+    SELECT l.topic, e.topic AS other, sum(l.w * e.w) / any_value(ln.n * en.n) AS cosine
+    FROM halves l JOIN halves e ON l.term = e.term AND l.half = 1 AND e.half = 0
+    JOIN (SELECT half, topic, sqrt(sum(w * w)) AS n FROM halves GROUP BY half, topic) ln ON ln.half = 1 AND ln.topic = l.topic
+    JOIN (SELECT half, topic, sqrt(sum(w * w)) AS n FROM halves GROUP BY half, topic) en ON en.half = 0 AND en.topic = e.topic
+    GROUP BY l.topic, e.topic"""
+
+
 def oracles() -> dict[str, str]:
     whole = sentiment("documents", "doc_id", None)
     first = sentiment("documents", "doc_id", None)
@@ -420,6 +466,7 @@ def oracles() -> dict[str, str]:
             "SELECT doc_id, url, fetch_time FROM first", first=_first_by("fx_docs", text_fp("text", None))
         ),
         "build_corpus": statement("SELECT * FROM corpus"),
+        "corpus_by_instalments": statement("SELECT * FROM corpus"),
         "score_documents": statement(f"""
             SELECT * EXCLUDE (partisan_score, sentiment_compound, sentiment_pos, sentiment_neg, sentiment_neu),
               {_rounded(['partisan_score', *_SENTIMENT])} FROM scored"""),
@@ -467,6 +514,23 @@ def oracles() -> dict[str, str]:
               round(avg(avg_sentiment), {R}) AS avg_sentiment, cast(sum(total_docs) AS BIGINT) AS total_docs
             FROM labelled_domains WHERE total_docs >= {I.VIEW_DOCS} GROUP BY ideology_label"""),
         "polarization_index": statement(f"SELECT {_METRICS} FROM metrics"),
+        "polarization_interval": statement("""
+            SELECT crawl, round(max(CASE WHEN replicate = 0 THEN idx END), 4) AS polarization_index,
+              round(quantile_cont(CASE WHEN replicate > 0 THEN idx END, 0.025), 4) AS low,
+              round(quantile_cont(CASE WHEN replicate > 0 THEN idx END, 0.975), 4) AS high FROM replicates GROUP BY crawl"""),
+        "polarization_changes": statement("""
+            SELECT crawl, round(max(CASE WHEN replicate = 0 THEN d END), 4) AS change,
+              round(quantile_cont(CASE WHEN replicate > 0 THEN d END, 0.025), 4) AS low,
+              round(quantile_cont(CASE WHEN replicate > 0 THEN d END, 0.975), 4) AS high
+            FROM (SELECT *, idx - lag(idx) OVER (PARTITION BY replicate ORDER BY crawl) AS d FROM replicates)
+            GROUP BY crawl HAVING max(CASE WHEN replicate = 0 THEN d END) IS NOT NULL"""),
+        "topic_shares": statement(
+            f"SELECT url, crawl, {NUM_TOPICS} AS n_topics, 1.0::DOUBLE AS total, true AS first_largest, true AS none_negative FROM corpus"
+        ),
+        "topic_ranks": statement(
+            f"SELECT unnest(range({NUM_TOPICS}))::INT AS topic, {TOP_TERMS}::BIGINT AS n_terms, {TOP_TERMS}::BIGINT AS n_different, "
+            f"{TOP_TERMS}::BIGINT AS last_rank, {TOP_TERMS}::BIGINT AS n_known, true AS falling"
+        ),
         "polarization_trend": statement(f"""
             SELECT count(*) AS n_crawls, min(crawl) AS earliest_crawl,
               round(arg_min(polarization_index, crawl), {R}) AS earliest_index, max(crawl) AS latest_crawl,
@@ -509,4 +573,23 @@ def oracles() -> dict[str, str]:
         ),
         "composite_ideology": statement(f"SELECT url, round(composite_ideology, {R}) AS composite_ideology FROM joined"),
         "standardize": statement(f"SELECT domain, {_Z} FROM features"),
+        "nearest_centres": statement("SELECT domain, k, cluster FROM assigned"),
+        "silhouette_of_centres": statement(f"""
+            SELECT k, round(avg(CASE WHEN members > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END), {R}) AS silhouette FROM (
+              SELECT k, domain, max(CASE WHEN own THEN n END) AS members, max(CASE WHEN own THEN total / greatest(n - 1, 1) END) AS a,
+                min(CASE WHEN NOT own THEN total / n END) AS b FROM (
+                SELECT p.k, p.domain, p.cluster = q.cluster AS own, count(*) AS n, sum({_far('zp.z', 'zq.z')}) AS total
+                FROM assigned p JOIN assigned q ON p.k = q.k JOIN scaled zp ON p.domain = zp.domain JOIN scaled zq ON q.domain = zq.domain
+                GROUP BY p.k, p.domain, p.cluster, q.cluster) GROUP BY k, domain) GROUP BY k"""),
+        "project_on": statement("SELECT domain, " + ", ".join(
+            "round(" + " + ".join(f"z[{j + 1}] * {pair[i]}::DOUBLE" for j, pair in enumerate(I.LOADINGS)) + f", {R}) AS {n}" for i, n in enumerate("xy")
+        ) + " FROM scaled"),
+        # The best of the 24 ways to match four topics.
+        "aligned_topics": statement(f"""
+            SELECT unnest([0, 1, 2, 3])::INT AS topic, unnest([a, b, c, d])::INT AS aligned,
+              round(unnest([ca, cb, cc, cd]), {R}) AS cosine FROM (
+              SELECT p.other AS a, q.other AS b, r.other AS c, s.other AS d, p.cosine AS ca, q.cosine AS cb, r.cosine AS cc, s.cosine AS cd
+              FROM cosines p, cosines q, cosines r, cosines s
+              WHERE p.topic = 0 AND q.topic = 1 AND r.topic = 2 AND s.topic = 3 AND len(list_distinct([p.other, q.other, r.other, s.other])) = 4
+              ORDER BY p.cosine + q.cosine + r.cosine + s.cosine DESC LIMIT 1)"""),
     }

@@ -4,7 +4,10 @@ Floats are rounded to 8 places for comparison; arrays are exploded or joined to
 """
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +18,21 @@ from corpuslens.functions import text as X
 from corpuslens.functions import topics as TP
 from corpuslens.functions import urls as U
 from corpuslens.functions.phrases import phrase_counts as count_phrases
+from corpuslens.operators import alignment as AL
+from corpuslens.operators import bootstrap as B
 from corpuslens.operators import clusters as C
 from corpuslens.operators import dedup as D
 from corpuslens.operators import extract as E
 from corpuslens.operators import ideology as G
 from corpuslens.operators import index as IX
+from corpuslens.operators import kmeans as KM
 from corpuslens.operators import partials as PT
 from corpuslens.operators import sentiment as S
 from corpuslens.operators import terms as TM
 from corpuslens.operators import topics as M
 from corpuslens.operators import trends as TR
 from corpuslens.plans import stages as P
-from corpuslens.plans.corpus import ascii_only, min_words
+from corpuslens.plans.corpus import ascii_only, extend_corpus, min_words
 from corpuslens.sources import archive as A
 from corpuslens.sources import stages as ST
 from corpuslens.sources.warc import read_archive as read_warc
@@ -343,6 +349,18 @@ def build_corpus(spark, sf_dir):
     return I.corpus(spark, sf_dir)
 
 
+@query
+def corpus_by_instalments(spark, sf_dir):
+    """The corpus of six instalments in the order of fetch time, each added to a ledger of those before."""
+    pages = I.stored(I.clean_pages(spark, sf_dir), "pages")
+    ledger, made = ST.shared_dir(spark, "ledger"), []
+    for k in range(6):
+        part = F.floor(F.col("fetch_time").cast("int") / 166_668) == k
+        added = extend_corpus(pages.filter(part), ledger, f"part-{k}", [f"part-{j}" for j in range(k)], blocks=1 << 12)
+        made.append(I.stored(added, "added"))
+    return reduce(lambda a, b: a.unionByName(b), made)
+
+
 # Aggregates
 
 
@@ -427,6 +445,16 @@ def polarization_index(spark, sf_dir):
     return C.polarization_index(I.clusters(spark, sf_dir))
 
 
+@query
+def polarization_interval(spark, sf_dir):
+    return B.index_interval(I.stored(I.crawl_clusters(spark, sf_dir), "clusters"), ["crawl"])
+
+
+@query
+def polarization_changes(spark, sf_dir):
+    return B.index_changes(I.stored(I.crawl_clusters(spark, sf_dir), "clusters"))
+
+
 @query
 def polarization_trend(spark, sf_dir):
     by_crawl = C.polarization_index(I.crawl_clusters(spark, sf_dir), by=["crawl"])
@@ -518,17 +546,55 @@ def composite_ideology(spark, sf_dir):
     return rounded(I.joined(spark, sf_dir).select("url", "composite_ideology"))
 
 
+#: Folders of the stored model and its corpus, by session and tables.
+_MODELS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def _model(spark, sf_dir):
-    corpus = I.stored(I.corpus(spark, sf_dir), "corpus")
-    return M.fit_topics(corpus, k=10, max_iter=5), corpus
+    """The model of the study's size, fitted and stored once for all queries about it, and its corpus."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        corpus = ST.shared_dir(spark, "corpus")
+        ST.write_stage(I.corpus(spark, sf_dir), corpus)
+        path = ST.shared_dir(spark, "topic-model")
+        M.save_topic_model(M.fit_topics(spark.read.parquet(corpus)), path)
+        _MODELS[key] = (path, corpus)
+    path, corpus = _MODELS[key]
+    return M.load_topic_model(path), spark.read.parquet(corpus)
 
 
 @query
 def topic_model(spark, sf_dir):
     """Fitted, stored, loaded again: the ten heaviest terms of each topic."""
-    path = ST.shared_dir(spark, "topic-model")
-    M.save_topic_model(_model(spark, sf_dir)[0], path)
-    return rounded(M.top_terms(M.load_topic_model(path), 10))
+    return rounded(M.top_terms(_model(spark, sf_dir)[0], 10))
+
+
+@query
+def topic_shares(spark, sf_dir):
+    """What must hold of the shares of every document: as many as topics, in all 1, the first largest one named."""
+    mixed = M.document_topics(*_model(spark, sf_dir))
+    shares = F.col("topic_dist_arr")
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    first = F.array_min(F.filter(F.transform(shares, lambda x, i: F.when(x == F.array_max(shares), i)), lambda i: i.isNotNull()))
+    return mixed.select(
+        "url", "crawl", F.size(shares).alias("n_topics"), F.round(total, 6).alias("total"),
+        (F.col("dominant_topic") == first).alias("first_largest"), (F.array_min(shares) >= 0).alias("none_negative"),
+    )
+
+
+@query
+def topic_ranks(spark, sf_dir):
+    """What must hold of every topic's terms: ranked from 1, none twice, by falling weight, all of the vocabulary."""
+    terms = M.top_terms(_model(spark, sf_dir)[0])
+    corpus = spark.read.parquet(_MODELS[spark.sparkContext.applicationId, sf_dir][1])
+    known = TM.vocabulary(TM.term_counts(TM.remove_stop_words(TM.tokens(corpus.select("url", "crawl", "text"))).withColumn("doc", F.struct("crawl", "url")), "doc"), None)
+    order = Window.partitionBy("topic").orderBy("rank")
+    falls = F.coalesce(F.lag("weight").over(order) >= F.col("weight"), F.lit(True))
+    checked = terms.withColumn("falls", falls).join(known.select(F.col("term").alias("known")), F.col("term") == F.col("known"), "left")
+    return checked.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.countDistinct("term").alias("n_different"), F.max("rank").cast("bigint").alias("last_rank"),
+        F.count("known").alias("n_known"), F.bool_and("falls").alias("falling"),
+    )
 
 
 @query
@@ -574,3 +640,48 @@ def cluster_domains(spark, sf_dir):
 @query
 def project_2d(spark, sf_dir):
     return rounded(C.project_2d(_standardized(spark, sf_dir)).select("domain", "x", "y"))
+
+
+@query
+def select_k_at_once(spark, sf_dir):
+    return rounded(KM.select_k_at_once(_standardized(spark, sf_dir))[1])
+
+
+def _given_centres(spark, sf_dir):
+    """Standardized domains, and as the centres of each k the first k of them by name."""
+    z = I.stored(_standardized(spark, sf_dir).select("domain", vector_to_array("scaled_features").alias("scaled_features")), "scaled")
+    first = [r["scaled_features"] for r in z.orderBy("domain").limit(max(I.GIVEN_K)).collect()]
+    return z, {k: np.array(first[:k]) for k in I.GIVEN_K}
+
+
+@query
+def nearest_centres(spark, sf_dir):
+    return KM.nearest_centres(*_given_centres(spark, sf_dir))
+
+
+@query
+def silhouette_of_centres(spark, sf_dir):
+    """Silhouettes of given centres, from sums; SQL takes them from all pairs."""
+    z, centres = _given_centres(spark, sf_dir)
+    scores = KM.silhouettes(z.select(F.col("scaled_features").alias("x")), centres)
+    return rounded(spark.createDataFrame(sorted(scores.items()), "k int, silhouette double"))
+
+
+@query
+def project_on(spark, sf_dir):
+    """Plane coordinates by given loadings."""
+    return rounded(C.project_on(_standardized(spark, sf_dir), I.LOADINGS).select("domain", "x", "y"))
+
+
+@query
+def aligned_topics(spark, sf_dir):
+    """Term counts of the four languages, numbered one way in even documents and the other way in odd ones."""
+    docs = I.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    number = F.array_position(F.array(*[F.lit(x) for x in I.LANGS]), F.col("lang")).cast("int") - 1
+
+    def terms(half, topic):
+        rows = TM.remove_stop_words(TM.tokens(docs.filter((F.col("doc_id") % 2 == half) & F.col("lang").isin(I.LANGS))))
+        counts = TM.term_counts(rows.select(topic.alias("topic"), "tokens"), "topic")
+        return I.stored(counts.groupBy("topic", "term").agg(F.sum("tf").cast("double").alias("weight")), "terms")
+
+    return rounded(AL.align_topics(terms(0, number), terms(1, len(I.LANGS) - 1 - number)))

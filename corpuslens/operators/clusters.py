@@ -95,6 +95,13 @@ def cluster_domains(standardized: DataFrame, k: int = 5, seed: int = SEED) -> Da
         rows.unpersist()
 
 
+def project_on(standardized: DataFrame, loadings: Sequence[Sequence[float]]) -> DataFrame:
+    """Adds plane coordinates ``x, y``: the scaled features by their two loadings each."""
+    z = vector_to_array("scaled_features")
+    xy = {n: sum(F.get(z, F.lit(j)) * float(pair[i]) for j, pair in enumerate(loadings)) for i, n in enumerate(("x", "y"))}
+    return standardized.withColumns(xy)
+
+
 def project_2d(standardized: DataFrame) -> DataFrame:
     """Adds plane coordinates ``x, y``: the first two principal components of the scaled features.
 
@@ -103,10 +110,7 @@ def project_2d(standardized: DataFrame) -> DataFrame:
     model = PCA(k=2, inputCol="scaled_features", outputCol="_plane").fit(standardized)
     loadings = model.pc.toArray()
     signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
-    plane = vector_to_array("_plane")
-    placed = model.transform(standardized)
-    xy = {n: F.get(plane, F.lit(i)) * signs[i] for i, n in enumerate(("x", "y"))}
-    return placed.withColumns(xy).drop("_plane")
+    return project_on(standardized, loadings * signs)
 
 
 def cluster_summary(clusters: DataFrame, by: Sequence[str] = ()) -> DataFrame:

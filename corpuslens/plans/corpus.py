@@ -1,13 +1,17 @@
 """From extracted pages to the corpus."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.defaults import MAX_NON_ASCII_RATIO, MIN_CORPUS_WORDS, MIN_PAGE_WORDS
 from corpuslens.functions.text import cleaned, non_ascii_ratio, text_fingerprint, word_count
 from corpuslens.functions.urls import crawl_month, url_fingerprint
-from corpuslens.operators.dedup import earliest, keep, with_row_id
+from corpuslens.operators.dedup import APART, ORDER, earliest, keep, with_row_id
+from corpuslens.operators.ledger import BLOCKS, Ledger, ledger_key
 from corpuslens.schemas import require_columns
+from corpuslens.sources.stages import shared_dir, write_stage
 
 
 def min_words(df: DataFrame, n: int = MIN_PAGE_WORDS, text_col: str = "text") -> DataFrame:
@@ -36,7 +40,50 @@ def build_corpus(
     survivors = earliest(
         pages, [url_fingerprint(F.col("url")), text_fingerprint(F.col("text"), key_chars)]
     )
+    return _documents(pages, survivors, max_ratio, words)
+
+
+def _documents(pages: DataFrame, survivors: DataFrame, max_ratio: float, words: int) -> DataFrame:
+    """The cleaned documents of the rows whose ids survive."""
     carried = [c for c in pages.columns if c != "text"]
     texts = ascii_only(with_row_id(pages), max_ratio)
     texts = texts.select(*carried, "_id1", "_id2", F.explode(cleaned(F.col("text"), words)).alias("text"))
     return keep(texts, survivors).withColumn("year_month", crawl_month(F.col("crawl")))
+
+
+def extend_corpus(
+    pages: DataFrame,
+    ledger: str,
+    name: str,
+    before: Sequence[str],
+    max_ratio: float = MAX_NON_ASCII_RATIO,
+    words: int = MIN_CORPUS_WORDS,
+    blocks: int = BLOCKS,
+) -> DataFrame:
+    """The documents that this instalment adds to the corpus of the instalments ``before`` it.
+
+    Together they are the corpus that ``build_corpus`` makes of all pages at once, if instalments
+    come in the order of fetch time; otherwise the first instalment that has a key keeps it. Only
+    keys of earlier pages are read, from the folder ``ledger``, and the keys of this instalment are added under
+    its name; an instalment that is run again replaces its own. ``pages`` is read twice.
+    """
+    require_columns(pages, "url", "crawl", "fetch_time", "text")
+    if name in before:
+        raise ValueError(f"instalment {name} cannot come before itself")
+    spark = pages.sparkSession
+    apart = [F.col(c) for c in APART if c in pages.columns]
+    by = [c for c in ORDER if c in pages.columns]
+    now = with_row_id(pages).select(
+        *by, "_id1", "_id2",
+        ledger_key(*apart, url_fingerprint(F.col("url"))).alias("url_key"),
+        ledger_key(*apart, text_fingerprint(F.col("text"))).alias("text_key"),
+    )
+    for kind in ("url_key", "text_key"):
+        rest = [c for c in ("text_key",) if c != kind]
+        first = now.groupBy(F.col(kind).alias("key")).agg(F.min(F.struct(*by, "_id1", "_id2", *rest)).alias("_first"))
+        keys = Ledger(spark, f"{ledger.rstrip('/')}/{kind}", blocks)
+        path = shared_dir(spark, kind)
+        write_stage(keys.new(first.select("key", "_first.*"), before), path)
+        now = spark.read.parquet(path)
+        keys.add(now, name)
+    return _documents(pages, now.select("_id1", "_id2"), max_ratio, words)
