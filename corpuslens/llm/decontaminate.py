@@ -53,18 +53,19 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy("hash", "words", "size").agg(F.collect_set("item").alias("items"))
 
 
-def _scan(docs: DataFrame, windows: list, id_type: str, with_text: bool) -> DataFrame:
-    """(doc_id, n_words, hits, items[, text]): merged ranges of hit words, ids of the items found."""
+def _ranges(flags: np.ndarray) -> list[list[int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    return edges.reshape(-1, 2).tolist()
+
+
+def _scan(docs: DataFrame, windows: list, id_type: str) -> DataFrame:
+    """(doc_id, n_words, hits, items): merged ranges of hit words, ids of the items found."""
     known = {bytes(r["words"]): r["items"] for r in windows}
     by_size: dict[int, np.ndarray] = {}
     for size in {r["size"] for r in windows}:
         by_size[size] = np.unique(np.array([r["hash"] for r in windows if r["size"] == size], dtype=np.int64).view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast((known, by_size))
 
-    def ranges(flags: np.ndarray) -> list[list[int]]:
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
-        return edges.reshape(-1, 2).tolist()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, by_size = sent.value
         sieves = {}
@@ -73,7 +74,7 @@ def _scan(docs: DataFrame, windows: list, id_type: str, with_text: bool) -> Data
             sieve[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for b in batches:
             texts = [t or b"" for t in b["text"].to_pylist()]
-            n_words, hits, items, cleaned = [], [], [], []
+            n_words, hits, items = [], [], []
             for lo, hi in chunks(texts):
                 w = Words(texts[lo:hi], LETTERS_DIGITS)
                 hit = np.zeros(len(w.hashes) + 1, dtype=np.int32)
@@ -92,20 +93,13 @@ def _scan(docs: DataFrame, windows: list, id_type: str, with_text: bool) -> Data
                 items += [sorted(x) for x in found]
                 for d in range(hi - lo):
                     first, n = w.firsts[d], w.counts[d]
-                    own = ranges(flags[first : first + n]) if found[d] else []
-                    hits.append(own)
-                    if with_text:
-                        cleaned.append(_without(texts[lo + d], w, d, own))
+                    hits.append(_ranges(flags[first : first + n]) if found[d] else [])
             out = [b["doc_id"], pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))),
                    pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", "n_words", "hits", "items"]
-            if with_text:
-                out, names = [*out, pa.array(cleaned, pa.string())], [*names, "text"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "hits", "items"])
 
     read = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    kind = f"doc_id {id_type}, n_words bigint, hits array<array<bigint>>, items array<string>"
-    return read.mapInArrow(run, kind + ", text string" * with_text)
+    return read.mapInArrow(run, f"doc_id {id_type}, n_words bigint, hits array<array<bigint>>, items array<string>")
 
 
 def _without(text: bytes, w: Words, d: int, own: list[list[int]]) -> str:
@@ -132,7 +126,7 @@ def find_leaks(
     n = windows.count()
     parts = max(1, -(-n // most_windows))
     if parts == 1:
-        one = _scan(docs, windows.collect(), id_type, False)
+        one = _scan(docs, windows.collect(), id_type)
         length = F.aggregate("hits", F.lit(0).cast("bigint"), lambda s, r: s + r[1] - r[0])
         return one.select("doc_id", "n_words", length.alias("n_hit"), "items")
     # Row numbers tell repeated ids apart; they are stored once, so that every part sees the same.
@@ -140,7 +134,7 @@ def find_leaks(
     scans = []
     for k in range(parts):
         part = windows.filter(F.pmod("hash", F.lit(parts)) == k).collect()
-        by_row = _scan(each.select(F.col("row").alias("doc_id"), "text"), part, "bigint", False)
+        by_row = _scan(each.select(F.col("row").alias("doc_id"), "text"), part, "bigint")
         scans.append(stored(by_row, "part"))
     every = reduce(DataFrame.unionByName, scans)
     cover = every.select("doc_id", F.explode("hits").alias("r")).select(
@@ -169,17 +163,38 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """(doc_id, text) with each run of hit words cut out; texts without hits are unchanged, null becomes empty.
+    """(doc_id, text), one row per row of ``docs``, with each run of hit words cut out.
 
-    Parts of a large benchmark are cut out one after the other.
+    The hits of all windows are found first and cut out once, so the result does not depend on
+    the parts in which a large benchmark is sent. Texts without hits are unchanged, null becomes
+    empty. Rows that repeat an id or have none are cut one by one.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    each = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "documents")
     windows = stored(item_windows(benchmark, window), "windows")
     parts = max(1, -(-windows.count() // most_windows))
-    now = docs.select("doc_id", "text")
+    scans = []
     for k in range(parts):
         part = windows.filter(F.pmod("hash", F.lit(parts)) == k).collect()
-        now = _scan(now, part, id_type, True).select("doc_id", "text")
-        if parts > 1:
-            now = stored(now, "cut")
-    return now
+        found = _scan(each.select(F.col("row").alias("doc_id"), "text"), part, "bigint")
+        scans.append(stored(found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("hit_row"), "hits"), "hits"))
+    hits = reduce(DataFrame.unionByName, scans).groupBy("hit_row").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = []
+            for t, own in zip(b["text"].to_pylist(), b["hits"].to_pylist()):
+                text = t or b""
+                if own:
+                    w = Words([text], LETTERS_DIGITS)
+                    flags = np.zeros(int(w.counts[0]) + 1, dtype=np.int64)
+                    for first, end in own:
+                        flags[first] += 1
+                        flags[end] -= 1
+                    text = _without(text, w, 0, _ranges(np.cumsum(flags[:-1]) > 0)).encode()
+                cut.append(text.decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(cut, pa.string())], ["doc_id", "text"])
+
+    joined = each.join(hits, F.col("row") == F.col("hit_row"), "left")
+    read = joined.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), "hits")
+    return read.mapInArrow(run, f"doc_id {id_type}, text string")

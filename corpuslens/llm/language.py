@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.arrays import chunks
 from corpuslens.llm.folds import held_out, learned
+from corpuslens.llm.scratch import stored
 
 BUCKET_BITS = 13
 DIMENSIONS = 1 << BUCKET_BITS
 SIZES = (2, 3, 4)
-#: Documents that the centroids of one language are fitted on, centroids, and languages at most.
-SAMPLE, CENTROIDS, LANGUAGES = 500, 4, 200
+#: Documents that the centroids of one language are fitted on, at most, and its centroids.
+SAMPLE, CENTROIDS = 500, 4
+#: Centroids that texts are compared with at a time.
+BLOCK = 1024
 #: A text is rejected where its cosine is below this multiple of the cosine that chance gives, and has come by less than
 #: this part of the way from there to 1.
 MARGIN, RISE = 2.0, 0.25
@@ -117,30 +120,25 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centers
 
 
-def fit_languages(
-    docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES
-) -> LanguageModel | None:
+def fit_languages(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> LanguageModel | None:
     """Learn from (doc_id, text, lang); rows without a language, a text or a letter are left out.
 
-    Document frequencies cover all rows; at most ``sample`` rows of a language, those with the
-    smallest hash of their id, are clustered, and at most ``languages`` languages, the most
-    frequent. None if there is nothing to learn from.
+    Every language that occurs is learned. Document frequencies cover all rows; at most ``sample``
+    rows of a language, those with the smallest hash of their id, are clustered. The model has
+    some 130 KB for each language. None if there is nothing to learn from.
     """
     lower, has_letter = _prepared(F.col("text"))
-    rows = docs.filter(F.col("lang").isNotNull() & has_letter)
-    per = rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    top = {r["lang"]: r["n"] for r in per.orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not top:
+    rows = docs.filter(F.col("lang").isNotNull() & has_letter).select(F.col("lang").cast("string").alias("lang"), "doc_id", lower.alias("bytes"))
+    # Twice the sample by the rate first, so that only these rows are put in order.
+    rate = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.count(F.lit(1)) + 0.01)
+    per = stored(rows.groupBy("lang").agg(rate.alias("rate")), "languages")
+    if per.isEmpty():
         return None
-    df, n = document_frequencies(rows.select(lower.alias("bytes")))
+    df, n = document_frequencies(rows)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    # Twice the sample by the rate first, so that only these rows are put in order.
-    rate = F.create_map(*[F.lit(v) for lang, m in top.items() for v in (lang, min(1.0, 2 * sample / m + 0.01))])
-    lang = F.col("lang").cast("string")
-    place = F.xxhash64("doc_id", F.lit("sample"))
-    drawn = rows.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 20)) < rate[lang] * (1 << 20))
+    placed = rows.withColumn("place", F.xxhash64("doc_id", F.lit("sample"))).join(per.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"))
+    drawn = placed.filter(F.pmod("place", F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     first = Window.partitionBy("lang").orderBy("place", "bytes")
-    drawn = drawn.select(lang.alias("lang"), "place", lower.alias("bytes"))
     drawn = drawn.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("lang", "k", "bytes")
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -162,26 +160,31 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, margin: floa
     lower, has_letter = _prepared(F.col("text"))
     read = docs.select("doc_id", F.when(has_letter, lower).alias("bytes"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays, since a worker need not have this package.
+    sent = docs.sparkSession.sparkContext.broadcast(model and (model.idf, model.centroids, model.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        idf, centroids, languages = sent.value or (None, None, [])
+        means = centroids.mean(axis=1) if languages else None
         for b in batches:
             texts = b["bytes"].to_pylist()
             n = len(texts)
             lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, dtype=bool)
-            at = [i for i, t in enumerate(texts) if t is not None and model is not None]
+            at = [i for i, t in enumerate(texts) if t is not None and languages]
             some = [texts[i] for i in at]
             for lo, hi in batches_of(some):
-                x = vectors(some[lo:hi], model.idf)
-                cosine = x @ model.centroids.T
-                best = np.argmax(cosine, axis=1)
-                top = cosine[np.arange(hi - lo), best]
+                x = vectors(some[lo:hi], idf)
+                best, top = np.zeros(hi - lo, dtype=np.int64), np.full(hi - lo, -np.inf, dtype=np.float32)
+                for first in range(0, len(centroids), BLOCK):
+                    cosine = x @ centroids[first : first + BLOCK].T
+                    own = np.argmax(cosine, axis=1)
+                    value = cosine[np.arange(hi - lo), own]
+                    best, top = np.where(value > top, own + first, best), np.maximum(value, top)
                 here = at[lo:hi]
                 for i, c in zip(here, best):
-                    lang[i] = model.languages[c]
+                    lang[i] = languages[c]
                 score[here] = np.clip(top, 0, 1)
-                chance = x.sum(axis=1) * model.centroids.mean(axis=1)[best]
+                chance = x.sum(axis=1) * means[best]
                 rejected[here] = (top < margin * chance) & (top - chance < rise * (1 - chance))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(lang), pa.array(score), pa.array(rejected)],

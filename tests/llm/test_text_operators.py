@@ -69,6 +69,27 @@ def test_spans_are_cut_out(spark):
     assert dict(map(tuple, decontaminate.remove_spans(docs, bench).collect())) == {1: "Keep, a  here.", 2: "clean", 3: ""}
 
 
+@pytest.mark.parametrize("most_windows", [1, 3, 200_000])
+def test_parts_of_a_benchmark_do_not_change_what_is_cut(spark, most_windows):
+    """Windows that overlap are cut together, whichever part they are sent in."""
+    words_ = [f"w{k}" for k in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(words_)), (1, "w1 w2"), (None, None), (2, "")], "doc_id bigint, text string").selectExpr("*", "0 AS row", "1 AS hits")
+    bench = spark.createDataFrame([(1, " ".join(words_[5:24]))], "item_id bigint, text string")
+    got = decontaminate.remove_spans(docs, bench, most_windows=most_windows).collect()
+    want = " ".join(words_[:5]) + "  " + " ".join(words_[24:])
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, ""), (1, want), (1, "w1 w2"), (2, "")]
+    assert decontaminate.remove_spans(docs.limit(0), bench, most_windows=most_windows).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{'abcdefghijklmnopqrst'[k % 20] * 3}{'bcdfghjklmnpqrs'[k // 20] * 3} ".join("x" * 12), f"l{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "0 AS rate", "1 AS _lang", "2 AS k")
+    model = language.fit_languages(docs)
+    assert len(set(model.languages)) == 300
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(docs, model).collect()}
+    assert got == {k: f"l{k}" for k in range(300)}
+
+
 def test_leaks_of_odd_and_no_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert decontaminate.leak_report(odd_docs, bench).count() == odd_docs.count()
@@ -283,7 +304,8 @@ def test_base_scores_and_a_better_model(spark, broadcast_words):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held_out(r.doc_id, 5, 1), len(tokens), n)
         assert r.n_known == sum(w in counts for w in tokens)
         assert r.base_score == pytest.approx(want) and r.score < 0
-        assert r.score > r.base_score + len(tokens) * np.log10(scoring.SHARE) - 12
+        # A subword costs less than if all were alike.
+        assert r.score > -np.log10(attention.VOCABULARY) * (len(lower(dict(rows)[r.doc_id]).encode()) + 1)
 
 
 def test_scores_of_odd_and_no_rows(odd_docs, no_docs):
