@@ -214,8 +214,8 @@ def test_passages_are_found_with_their_places(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end): r for r in passages.shared_passages(docs).collect()}
     assert (2, 1, 7, 87, 20, 100) in got and (3, 1, 0, 79, 20, 100) in got
     assert got[3, 1, 0, 79, 20, 100].matched == 78
-    # Seeds of the first half point to document 4, all others to document 5, whose chain is extended to the left.
-    assert {k[:4] for k in got if k[0] == 6} == {(6, 4, 0, 30), (6, 5, 0, 60)}
+    # Seeds of the first half point to document 4, all others to document 5, whose chain is extended to the left by MARGIN.
+    assert {k[:4] for k in got if k[0] == 6} == {(6, 4, 0, 30), (6, 5, 34 - passages.MARGIN, 60)}
     assert {k[0] for k in got} == {2, 3, 6, 10}
     cut = dict(map(tuple, passages.cut_passages(docs.filter("doc_id IN (1, 2)"), passages.shared_passages(docs)).collect()))
     assert cut[1] == rows[0][1] and len(cut[2].split()) == 7
@@ -223,6 +223,29 @@ def test_passages_are_found_with_their_places(spark, odd_docs, no_docs):
     assert {(r.doc_id, r.other_id) for r in passages.shared_passages(odd_docs).collect()} == {(7, 6)}
 
 
+@pytest.mark.parametrize("n_words, every, least", [(55, 20, 0.95), (55, 15, 0.95), (80, 12, 0.9), (200, 10, 0.95), (200, 8, 0.9)])
+def test_fuzzy_passages_are_found(spark, n_words, every, least):
+    """Planted passages with one word in so many changed, and some with a word changed near an end; other texts share nothing."""
+    rng = np.random.default_rng(n_words + every)
+    rows, want = [], set()
+    for k in range(40):
+        words_ = shared(rng, n_words).split()
+        changed = list(words_)
+        for i in range(int(rng.integers(every)), n_words, every):
+            changed[i] = f"changed{k}x{i}"
+        near = list(words_)
+        near[5 if k % 2 else -6] = "changed"
+        rows += [(4 * k, f"{shared(rng, 30)} {' '.join(words_)} {shared(rng, 30)}"), (4 * k + 1, f"{shared(rng, 9)} {' '.join(changed)} {shared(rng, 50)}"),
+                 (4 * k + 2, f"{shared(rng, 40)} {' '.join(near)}"), (4 * k + 3, shared(rng, 150))]
+        want |= {4 * k + 1, 4 * k + 2}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.other_id) for r in passages.shared_passages(docs).collect()}
+    assert all(a // 4 == b // 4 and a % 4 != 3 for a, b in got)
+    caught = {a for a, _ in got}
+    assert len([a for a in want if a % 4 == 2 and a in caught]) == 40
+    assert len([a for a in want if a % 4 == 1 and a in caught]) >= least * 40
+
+
 def test_chains_rise_in_both_texts():
     runs = [(0, 12, 0, 12), (13, 30, 14, 31), (5, 16, 90, 101), (32, 44, 2, 14)]
     found = passages.chains(sorted(runs))
