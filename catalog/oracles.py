@@ -358,6 +358,16 @@ def _far(a: str, b: str) -> str:
     return " + ".join(f"power({a}[{j}] - {b}[{j}], 2)" for j in range(1, len(FEATURES) + 1))
 
 
+CTES["lang_terms"] = """
+    SELECT topic, term FROM (SELECT lang AS topic, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS rn
+      FROM (SELECT lang, unnest(ws) AS term FROM kept_tokens) GROUP BY lang, term) WHERE rn <= 20"""
+CTES["token_windows"] = """
+    SELECT doc_id, s, ws[s:s + 9] AS w FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS s FROM kept_tokens WHERE len(ws) > 0)"""
+CTES["window_terms"] = """
+    SELECT DISTINCT doc_id, s, term FROM (SELECT doc_id, s, unnest(w) AS term FROM token_windows) WHERE term IN (SELECT term FROM lang_terms)"""
+CTES["window_pairs"] = """
+    SELECT l.term AS a, r.term AS b, count(*) AS n FROM window_terms l JOIN window_terms r ON l.doc_id = r.doc_id AND l.s = r.s AND l.term <= r.term
+    GROUP BY l.term, r.term"""
 _SCALED = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()" for c in FEATURES)
 CTES["scaled"] = f"SELECT domain, [{_SCALED}] AS z, row_number() OVER (ORDER BY domain) - 1 AS place FROM features"
 CTES["assigned"] = f"""
@@ -573,6 +583,15 @@ def oracles() -> dict[str, str]:
         ),
         "composite_ideology": statement(f"SELECT url, round(composite_ideology, {R}) AS composite_ideology FROM joined"),
         "standardize": statement(f"SELECT domain, {_Z} FROM features"),
+        "topic_coherence": statement(f"""
+            SELECT topic, round(avg(CASE WHEN n IS NULL THEN -1.0 WHEN n = every THEN 1.0
+              ELSE ln(n / every * every * every / (na * nb)) / -ln(n / every) END), {R}) AS coherence FROM (
+              SELECT p.topic, p.term AS a, q.term AS b, any_value(x.n)::DOUBLE AS na, any_value(y.n)::DOUBLE AS nb,
+                any_value(z.n)::DOUBLE AS n, any_value(t.every)::DOUBLE AS every
+              FROM lang_terms p JOIN lang_terms q ON p.topic IS NOT DISTINCT FROM q.topic AND p.term < q.term
+              JOIN window_pairs x ON x.a = p.term AND x.b = p.term JOIN window_pairs y ON y.a = q.term AND y.b = q.term
+              LEFT JOIN window_pairs z ON z.a = p.term AND z.b = q.term,
+              (SELECT count(*) AS every FROM token_windows) t GROUP BY p.topic, p.term, q.term) GROUP BY topic"""),
         "nearest_centres": statement("SELECT domain, k, cluster FROM assigned"),
         "silhouette_of_centres": statement(f"""
             SELECT k, round(avg(CASE WHEN members > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END), {R}) AS silhouette FROM (

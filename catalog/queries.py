@@ -21,6 +21,7 @@ from corpuslens.functions.phrases import phrase_counts as count_phrases
 from corpuslens.operators import alignment as AL
 from corpuslens.operators import bootstrap as B
 from corpuslens.operators import clusters as C
+from corpuslens.operators import coherence as CO
 from corpuslens.operators import dedup as D
 from corpuslens.operators import extract as E
 from corpuslens.operators import ideology as G
@@ -602,6 +603,23 @@ def topic_quality(spark, sf_dir):
     return rounded(M.topic_quality(*_model(spark, sf_dir)))
 
 
+@query
+def topic_coherence(spark, sf_dir):
+    """Coherence of the twenty most frequent terms of each language, over all documents."""
+    rows = I.table(spark, sf_dir, "documents").select("lang", "text")
+    tokens = TM.remove_stop_words(TM.tokens(rows))
+    counts = TM.term_counts(tokens, "lang").groupBy("lang", "term").agg(F.sum("tf").alias("tf"))
+    order = Window.partitionBy("lang").orderBy(F.desc("tf"), "term")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 20)
+    return rounded(CO.topic_coherence(tokens, I.stored(ranked.select(F.col("lang").alias("topic"), "term"), "terms")))
+
+
+@query
+def topic_completion(spark, sf_dir):
+    """How well the topics of one half of each document foretell the other."""
+    return rounded(CO.completion(*_model(spark, sf_dir)))
+
+
 @query
 def top_terms(spark, sf_dir):
     return rounded(M.top_terms(_model(spark, sf_dir)[0]))

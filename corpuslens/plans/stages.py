@@ -19,6 +19,8 @@ from corpuslens.defaults import (
     URL_KEYWORDS,
     VOCAB_SIZE,
 )
+from corpuslens.functions.urls import has_url_keyword, in_domains
+from corpuslens.operators.bootstrap import REPLICATES, index_changes, index_interval
 from corpuslens.operators.clusters import (
     cluster_domains,
     cluster_summary,
@@ -39,12 +41,16 @@ from corpuslens.operators.topics import (
     fit_topics,
     save_topic_model,
     top_terms,
+    topic_prevalence,
     topic_quality,
     topic_term_lists,
 )
+from corpuslens.operators.trends import METRICS as TREND_METRICS
+from corpuslens.operators.trends import domain_trend, polarization_trend
 from corpuslens.plans.corpus import build_corpus
 from corpuslens.sources.archive import fetch_records, fetched, parse_records, rejected
 from corpuslens.sources.stages import for_crawl, read_stage, write_csv, write_json, write_stage
+from corpuslens.sources.warc import read_archive
 
 
 PANEL_KEYS = ("crawl", "domain", "year_month")
@@ -71,11 +77,45 @@ def collect_corpus(
     could not be read are listed in ``rejects``; more than a share of ``max_failed`` is an error.
     """
     spark = index.sparkSession
-    by = ["crawl"]
-    rows = {}
-    rows["segments"] = write_stage(filter_index(index, crawl, domains, keywords, fraction=fraction), f"{out}/segments", by)
+    rows = {"segments": write_stage(filter_index(index, crawl, domains, keywords, fraction=fraction), f"{out}/segments", ["crawl"])}
     manifest = read_stage(spark, f"{out}/segments", schemas.SEGMENTS)
-    rows["fetched"] = write_stage(fetch_records(manifest, archive), f"{out}/fetched", by)
+    rows["fetched"] = write_stage(fetch_records(manifest, archive), f"{out}/fetched", ["crawl"])
+    return _pages_to_corpus(spark, out, rows, min_page_words, max_html_chars, max_text_chars, key_chars, max_failed)
+
+
+def collect_archive(
+    spark: SparkSession,
+    archive: str,
+    out: str,
+    crawls: Iterable[str] | None = None,
+    domains: Iterable[str] = DOMAINS,
+    keywords: Iterable[str] = URL_KEYWORDS,
+    min_page_words: int = MIN_PAGE_WORDS,
+    max_html_chars: int | None = None,
+    max_text_chars: int | None = None,
+    key_chars: int | None = None,
+    max_failed: float = MAX_FAILED_SHARE,
+    **options,
+) -> dict[str, int]:
+    """As ``collect_corpus``, from a folder of archive files without an index of them.
+
+    All files of the ``crawls`` are read, of which the paths are to name each; ``options`` go to
+    ``read_archive``. A part of a file that cannot be read is a reject whatever its address.
+    """
+    if crawls is not None:
+        options["crawls"] = ",".join(crawls)
+    wanted = F.col("error").isNotNull() | in_domains(F.col("url"), domains) | has_url_keyword(F.col("url"), keywords)
+    records = read_archive(spark, archive, schemas.RAW_RECORDS.fieldNames(), **options).filter(wanted)
+    rows = {"fetched": write_stage(records, f"{out}/fetched", ["crawl"])}
+    return _pages_to_corpus(spark, out, rows, min_page_words, max_html_chars, max_text_chars, key_chars, max_failed)
+
+
+def _pages_to_corpus(
+    spark: SparkSession, out: str, rows: dict[str, int], min_page_words: int, max_html_chars: int | None, max_text_chars: int | None,
+    key_chars: int | None, max_failed: float,
+) -> dict[str, int]:
+    """The stages after ``fetched``, which is stored."""
+    by = ["crawl"]
     records = read_stage(spark, f"{out}/fetched", schemas.RAW_RECORDS)
     rows["rejects"] = write_stage(rejected(records), f"{out}/rejects", by)
     if rows["rejects"] > max_failed * rows["fetched"]:
@@ -170,6 +210,22 @@ def cluster_panel(spark: SparkSession, out: str, k: int = 0, k_max: int = 8, min
     return {"clusters/domain_clusters": rows}
 
 
+def trend_tables(
+    spark: SparkSession, out: str, domains: Iterable[str] = DOMAINS, replicates: int = REPLICATES
+) -> dict[str, int]:
+    """The series over months and crawls under ``out/trends``: topics, chosen domains, and polarization with its intervals."""
+    panel = read_stage(spark, f"{out}/ideology/domain_ideology", schemas.CRAWL_IDEOLOGY)
+    clusters = spark.read.parquet(f"{out}/clusters/assigned")
+    tables = {
+        "topic_prevalence": topic_prevalence(spark.read.parquet(f"{out}/topics/doc_topics")),
+        "polarization_trend": polarization_trend(spark.read.schema(METRICS).json(f"{out}/clusters/polarization_metrics")),
+        "polarization_interval": index_interval(clusters, ["crawl"], replicates),
+        "polarization_changes": index_changes(clusters, replicates=replicates),
+    }
+    tables |= {f"domain_{m}": domain_trend(panel, list(domains), m) for m in TREND_METRICS}
+    return {f"trends/{name}": write_stage(df, f"{out}/trends/{name}") for name, df in tables.items()}
+
+
 def publish_crawls(spark: SparkSession, out: str, base: str) -> list[str]:
     """Panel and metrics of each crawl under ``base/crawl``, as ``read_panel`` and ``read_metrics`` take them. Returns the crawls."""
     panel = read_stage(spark, f"{out}/ideology/domain_ideology", schemas.CRAWL_IDEOLOGY)

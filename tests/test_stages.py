@@ -35,6 +35,9 @@ def test_whole_study(spark, tmp_path):
     metrics = spark.read.json(f"{out}/clusters/polarization_metrics").collect()
     assert {m.k for m in metrics} == {3} and sum(m.n_domains for m in metrics) == rows["clusters/domain_clusters"]
     assert rows["rejects"] == 0 and rows["fetched"] == rows["segments"]
+    trends = P.trend_tables(spark, out, ["example.com", "example.org"], 20)
+    assert trends["trends/polarization_trend"] == 1 and trends["trends/polarization_interval"] == 6 and trends["trends/polarization_changes"] == 5
+    assert trends["trends/topic_prevalence"] == 4 * spark.read.parquet(f"{out}/corpus").select("year_month").distinct().count()
     crawls = P.publish_crawls(spark, out, str(tmp_path / "published"))
     assert len(crawls) == 6 == len(metrics)
     panels = ST.read_panel(spark, str(tmp_path / "published"), crawls)
@@ -42,6 +45,19 @@ def test_whole_study(spark, tmp_path):
     assert ST.read_metrics(spark, str(tmp_path / "published")).count() == 6
 
 
+def test_study_from_archive_files_without_an_index(spark, tmp_path):
+    """The same corpus as by the index, but for the blank lines that end a record."""
+    located, root = I.archive(spark, SF)
+    domains = ["example.com", "example.org"]
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    P.collect_corpus(located.withColumn("content_mime_detected", F.lit("text/html")), root, one, domains=domains)
+    rows = P.collect_archive(spark, I.archive_folder(spark, SF), two, domains=domains, splitBytes=20_000)
+    a, b = (sorted(map(tuple, spark.read.parquet(f"{o}/corpus").select("url", "crawl", "fetch_time", "text").collect())) for o in (one, two))
+    assert a == b and len(a) == rows["corpus"] > 5 and rows["rejects"] == 0
+    some = P.collect_archive(spark, I.archive_folder(spark, SF), str(tmp_path / "some"), I.CRAWLS[:2], domains)
+    assert some["fetched"] == sum(r[1] in I.CRAWLS[:2] for r in spark.read.parquet(f"{two}/fetched").select("url", F.col("crawl").cast("string")).collect())
+
+
 def test_too_many_lost_records_stop_the_study(spark, tmp_path):
     located, root = I.archive(spark, SF)
     lost = located.withColumn("warc_filename", F.lit("absent.warc"))
@@ -87,7 +103,14 @@ def test_panels_of_absent_crawls_are_skipped(spark, tmp_path):
         ST.read_panel(spark, str(tmp_path), ["c3"])
 
 
-def test_shared_folder_setting_is_used(spark):
+def test_shared_folder_setting_is_used(spark, monkeypatch, tmp_path):
+    with pytest.raises(ValueError, match="share"):
+        # The warehouse of this session is a local folder, which other machines would not see.
+        class Elsewhere:
+            conf = type("C", (), {"get": staticmethod(lambda k, *d: None if k == "spark.checkpoint.dir" else "file:/tmp/warehouse")})
+            sparkContext = type("S", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})
+
+        ST.shared_dir(Elsewhere, "x")
     assert ST.shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
