@@ -1,9 +1,10 @@
 """Not-modified revisit records resolved to the latest earlier full response of their URL.
 
 An as-of join by canonical URL. A URL that holds a third of all records is not put in order in one
-task: captures are cut into blocks of time; within a block a running maximum finds the latest
-response before each revisit, and the latest response of all earlier blocks comes from one row per
-URL and block. Only (time, id) take part; headers are joined to the pairs found, by id, which Spark
+task, even if they all lie in one day: map tasks reduce responses to the latest of each URL and
+second, so a block of time has at most as many rows as seconds. Running maxima over the seconds of
+a block and over the blocks of a URL tell the latest response before each second, and revisits are joined
+to their second. Only (time, id) take part; headers are joined to the pairs found, by id, which Spark
 splits where many revisits meet one response.
 """
 
@@ -65,7 +66,8 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     of the revisit: status ``resolved``, ``mismatch`` or, if they have no validator in common,
     ``no_validator``; ``no_response`` if there is no earlier response, as for null URLs or times.
     Headers are merged where the status is ``resolved`` and otherwise those of the revisit. Records of
-    other kinds are ignored; responses that repeat an id count once, revisits are all returned.
+    other kinds are ignored; responses that repeat an id count once, revisits are all returned. Of
+    responses with one id, and of revisits with one id, URL and time, the headers whose lines come last hold.
     """
     known = records.select(
         "record_id", "url", canonical_url(F.col("url").cast("string")).alias("canonical_url"), F.col("captured").cast("bigint").alias("captured"),
@@ -73,16 +75,19 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     ).filter(F.col("kind").isin(RESPONSE, REVISIT))
     known = known.withColumn("full", F.when(F.col("kind") == RESPONSE, F.struct("captured", "record_id")))
     placed = known.filter("canonical_url IS NOT NULL AND captured IS NOT NULL")
-    blocks = placed.groupBy("canonical_url", "block").agg(F.max("full").alias("full"))
+    seconds = stored(placed.groupBy("canonical_url", "block", "captured").agg(F.max("full").alias("full")), "seconds")
+    blocks = seconds.groupBy("canonical_url", "block").agg(F.max("full").alias("full"))
     before = Window.partitionBy("canonical_url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("canonical_url", "block", F.max("full").over(before).alias("carried"))
-    carried = stored(carried.filter("carried IS NOT NULL"), "carried")
-    earlier = Window.partitionBy("canonical_url", "block").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
-    within = placed.withColumn("within", F.max("full").over(earlier)).filter(F.col("kind") == REVISIT)
-    found = within.select("record_id", "url", "canonical_url", "captured", "block", "within").join(
-        carried, ["canonical_url", "block"], "left"
+    carried = blocks.select("canonical_url", "block", F.max("full").over(before).alias("carried")).filter("carried IS NOT NULL")
+    earlier = Window.partitionBy("canonical_url", "block").orderBy("captured").rowsBetween(Window.unboundedPreceding, -1)
+    within = seconds.select("canonical_url", "block", "captured", F.max("full").over(earlier).alias("within"))
+    latest = within.join(stored(carried, "carried"), ["canonical_url", "block"], "left").select(
+        F.col("canonical_url").alias("_canonical"), F.col("captured").alias("_second"), F.coalesce("within", "carried").alias("latest")
     )
-    found = found.withColumn("response_id", F.coalesce("within", "carried")["record_id"])
+    latest = stored(latest.filter("latest IS NOT NULL"), "latest")
+    asked = placed.filter(F.col("kind") == REVISIT).select("record_id", "url", "canonical_url", "captured")
+    same_second = (F.col("canonical_url") == F.col("_canonical")) & (F.col("captured") == F.col("_second"))
+    found = asked.join(latest, same_second, "left").select(*asked.columns, F.col("latest.record_id").alias("response_id"))
     lost = known.filter((F.col("kind") == REVISIT) & (F.col("canonical_url").isNull() | F.col("captured").isNull()))
     columns = ["record_id", "url", "canonical_url", "captured"]
     pointed = found.select(*columns, "response_id").unionByName(
@@ -91,11 +96,12 @@ def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
     pointed = stored(pointed, "pointed")
     headers = _lower_names(F.col("headers"))
     full = records.filter(F.col("kind") == RESPONSE).select(F.col("record_id").alias("response_id"), headers.alias("full_headers"))
-    full = full.dropDuplicates(["response_id"])
+    # Maps have no order: of records that repeat an id, the one whose header lines come last stands for them.
+    full = full.groupBy("response_id").agg(F.max_by("full_headers", header_lines(F.col("full_headers"))).alias("full_headers"))
     own = records.filter(F.col("kind") == REVISIT).select(
         F.col("record_id").alias("_id"), F.col("url").alias("_url"), F.col("captured").cast("bigint").alias("_captured"), headers.alias("own")
     )
-    own = own.dropDuplicates(["_id", "_url", "_captured"])
+    own = own.groupBy("_id", "_url", "_captured").agg(F.max_by("own", header_lines(F.col("own"))).alias("own"))
     same = (
         F.col("record_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url"))
         & F.col("captured").eqNullSafe(F.col("_captured"))

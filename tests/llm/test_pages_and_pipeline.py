@@ -135,6 +135,34 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(df.limit(0)).collect() == []
 
 
+def test_revisits_of_one_hot_url_as_by_looking_through_all(spark):
+    """Most records of one URL within an hour, many in the same second; ids that repeat with other headers."""
+    r = random.Random(8)
+    rows = []
+    for k in range(900):
+        url = "http://hot.org/" if r.random() < 0.8 else f"http://h{r.randrange(3)}.org/"
+        captured = r.choice([None, *[1000 + r.randrange(60) for _ in range(20)], r.randrange(10**6)])
+        rows.append((r.choice([k, k // 2]), url, captured, r.choice(["response", "revisit"]), {"etag": str(r.randrange(3))}))
+    got = sorted(((x.record_id, x.url, x.captured, x.response_id) for x in revisits.resolve_revisits(records(spark, rows), 3600).collect()), key=str)
+    want = []
+    for i, url, t, kind, _ in rows:
+        if kind == "revisit":
+            before = [(c, j) for j, u, c, k, _ in rows if k == "response" and u == url and c is not None and t is not None and c < t]
+            want.append((i, url, t, max(before)[1] if before else None))
+    assert got == sorted(want, key=str)
+    full = {}
+    for i, _, _, kind, h in rows:
+        if kind == "response":
+            full[i] = max(full.get(i, ""), h["etag"])
+    own = {}
+    for i, u, t, kind, h in rows:
+        if kind == "revisit":
+            own[i, u, t] = max(own.get((i, u, t), ""), h["etag"])
+    for x in revisits.resolve_revisits(records(spark, rows).repartition(7), 3600).collect():
+        if x.response_id is not None:
+            assert x.status == ("resolved" if full[x.response_id] == own[x.record_id, x.url, x.captured] else "mismatch")
+
+
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
 def test_same_result_in_both_engines(spark, name):
     assert check.compare(spark, check.database(SF), name, SF)[0] == "same"
