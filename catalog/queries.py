@@ -572,7 +572,10 @@ def topic_model(spark, sf_dir):
 
 @query
 def topic_shares(spark, sf_dir):
-    """What must hold of the shares of every document: as many as topics, in all 1, the first largest one named."""
+    """What must hold of the shares of every document: as many as topics, in all 1, the first largest one named.
+
+    A document without a term of the vocabulary would have shares of 0.
+    """
     mixed = M.document_topics(*_model(spark, sf_dir))
     shares = F.col("topic_dist_arr")
     total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)

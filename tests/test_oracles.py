@@ -12,8 +12,8 @@ import check
 from catalog.stopwords import ENGLISH
 
 SF = "/root/testdata/sf0.001"
-# The smallest data has no domain with enough documents to scale.
-LARGER = {"standardize": "/root/testdata/sf0.01"}
+# The smallest data has no domain with enough documents to scale, and documents without a term of the vocabulary.
+LARGER = dict.fromkeys(["standardize", "nearest_centres", "silhouette_of_centres", "project_on", "topic_ranks", "topic_shares"], "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
