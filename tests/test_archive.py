@@ -108,3 +108,12 @@ def test_errors_of_the_store_are_tried_again(spark, tmp_path, manifest, monkeypa
     rows = manifest.filter("url = 'u0'").toPandas()
     out = next(run[-1](iter([rows])))
     assert len(reads) == 3 and out["error"].isna().all()
+
+
+def test_a_relative_folder_is_resolved_before_it_is_sent(spark, tmp_path, manifest, monkeypatch):
+    monkeypatch.chdir(tmp_path.parent)
+    got = A.fetched(A.fetch_records(manifest, tmp_path.name, 2))
+    monkeypatch.chdir("/")
+    assert got.count() == 40
+    with pytest.raises(ValueError, match="no folder"):
+        A.fetch_records(manifest, "")
