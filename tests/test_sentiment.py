@@ -214,3 +214,18 @@ def test_panel_counts_and_minimum(spark):
     assert [(r.year_month, r.doc_count, r.avg_sentiment, r.std_sentiment) for r in got] == [("2024-01", 10, 0.5, 0.0)]
     assert S.sentiment_panel(scored, 9).count() == 2
     assert S.sentiment_panel(scored.limit(1), 1).select(F.col("std_sentiment")).first()[0] is None
+
+
+def test_only_terms_become_rows(spark):
+    """Words are told apart inside the text's list: one look-up, of the valence, instead of one for each neighbour."""
+    p = _score(spark, _docs(spark, 10))._jdf.queryExecution().executedPlan().toString()
+    assert p.count("BroadcastHashJoin") == 1 and "posexplode" not in p
+
+
+def test_large_lexicon_gives_the_same(spark, monkeypatch):
+    docs = _docs(spark, 60)
+    few = sorted(map(str, _score(spark, docs).collect()))
+    monkeypatch.setattr(S, "MAX_TERMS", 3)
+    many = _score(spark, docs)
+    assert "posexplode" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, many.collect())) == few
