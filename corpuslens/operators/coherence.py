@@ -4,6 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.text import bind
 from corpuslens.operators.topics import TopicModel
 from corpuslens.schemas import require_columns
 from corpuslens.sources.stages import shared_dir, write_stage
@@ -12,11 +13,19 @@ from corpuslens.sources.stages import shared_dir, write_stage
 WINDOW = 10
 
 
-def _windows(tokens: Column, terms: Column, size: int) -> Column:
-    """The different terms in each run of ``size`` tokens, or in all tokens if they are fewer; runs without any are left out."""
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
-    return F.filter(F.transform(starts, lambda s: F.array_intersect(F.slice(tokens, s, size), terms)), lambda w: F.size(w) > 0)
+def _windows(tokens: Column, terms: list[str], size: int) -> Column:
+    """The places in ``terms`` of the different terms in each run of ``size`` tokens, or in all if they are fewer, ordered.
+
+    Runs without any are left out.
+    """
+    # Tokens are looked up once for a text, so that a window compares numbers.
+    marked = F.transform(tokens, lambda w: F.when(w.isin(terms), F.array_position(F.lit(terms).cast("array<string>"), w) - 1))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - size + 1, F.lit(1)))
+
+    def found(marks: Column) -> Column:
+        return F.transform(starts, lambda s: F.sort_array(F.array_distinct(F.array_compact(F.slice(marks, s, size)))))
+
+    return F.filter(bind(marked, found), lambda w: F.size(w) > 0)
 
 
 def window_counts(docs: DataFrame, terms: list[str], window: int = WINDOW) -> tuple[DataFrame, DataFrame, int]:
@@ -26,14 +35,18 @@ def window_counts(docs: DataFrame, terms: list[str], window: int = WINDOW) -> tu
     w (w - 1) / 2 pairs. The counts are stored, at most one row for each pair of ``terms``.
     """
     require_columns(docs, "tokens")
-    wanted = F.lit(sorted(set(terms))).cast("array<string>")
+    wanted = sorted(set(terms))
     rows = docs.filter(F.size("tokens") > 0)
     every = rows.agg(F.sum(F.greatest(F.size("tokens") - window + 1, F.lit(1)))).first()[0] or 0
-    found = rows.select(F.explode(_windows(F.col("tokens"), wanted, window)).alias("w")).select(F.array_sort("w").alias("w"))
-    # A single term is a pair of itself, so both counts take one pass.
-    pairs = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b >= a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    found = rows.select(F.explode(_windows(F.col("tokens"), wanted, window)).alias("w"))
+    # A single term is a pair of itself, so both counts take one pass. A pair is one number, its terms follow after counting.
+    base = max(len(wanted), 1)
+    pairs = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b >= a), lambda b: a * base + b)))
+    counted = found.select(F.explode(pairs).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    name = F.lit(wanted).cast("array<string>")
+    a, b = F.get(name, F.floor(F.col("p") / base).cast("int")), F.get(name, (F.col("p") % base).cast("int"))
     path = shared_dir(docs.sparkSession, "windows")
-    write_stage(found.select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), path)
+    write_stage(counted.select(a.alias("a"), b.alias("b"), "n"), path)
     counts = docs.sparkSession.read.schema("a string, b string, n bigint").parquet(path)
     return counts.filter("a = b").select(F.col("a").alias("term"), "n"), counts.filter("a < b"), int(every)
 

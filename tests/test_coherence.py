@@ -63,3 +63,10 @@ def test_themes_are_more_coherent_and_foretell_more_than_mixed_terms(spark):
     # Not better than knowing the theme and nothing else of its twelve words.
     assert told.per_token < -math.log(12) + 0.05
     assert A.topic_terms(model).count() == 3 * 36
+
+
+def test_windows_hold_places_of_terms(spark):
+    """Numbers are compared and counted in windows, not words."""
+    rows = spark.createDataFrame([(["a", "x", "b", "a"],), (["x", "y", "z"],)], "tokens array<string>")
+    got = [r[0] for r in rows.select(C._windows(F.col("tokens"), ["a", "b"], 2)).collect()]
+    assert got == [[[0], [1], [0, 1]], []]
