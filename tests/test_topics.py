@@ -112,3 +112,11 @@ def test_counting_terms_needs_no_shuffle(corpus):
     got = {(r.url, r.term): r.tf for r in TM.term_counts(tokens, "url").collect()}
     want = {(r.url, w): n for r in tokens.collect() for w, n in Counter(r.tokens).items()}
     assert got == want
+
+
+def test_the_fit_deals_its_rows_to_all_cores(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"alpha beta gamma delta{i % 3}",) for i in range(40)], "text string").coalesce(1)
+    seen = []
+    monkeypatch.setattr(M.LDA, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()))
+    M.fit_topics(docs, k=2, max_iter=1, min_df=1)
+    assert seen == [M.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
