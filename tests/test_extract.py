@@ -1,7 +1,9 @@
 import time
 
+import pyarrow as pa
 import pytest
 
+from corpuslens.operators import extract as E
 from corpuslens.operators.extract import _page_text, extract_pages
 from plans import plan
 
@@ -71,3 +73,12 @@ def test_long_text_is_whole_unless_asked_to_be_cut(spark):
 def test_parser_runs_once_and_gets_only_the_html(spark):
     p = plan(extract_pages(_pages(spark, ("http://h/1", "<p>x"))).filter("word_count > 150"))
     assert p.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in p
+
+
+def test_pages_become_strings_a_few_at_a_time(monkeypatch):
+    held, whole = [], E._page_text
+    monkeypatch.setattr(E, "_page_text", lambda h: held.append(h) or whole(h))
+    pages = pa.array([f"<p>page {i}</p>" for i in range(2 * E.PAGES + 1)] + [None])
+    got = E._main_text.func(pages)
+    assert got.to_pylist() == [f"page {i}" for i in range(2 * E.PAGES + 1)] + [None]
+    assert len(held) == 2 * E.PAGES + 1
