@@ -229,3 +229,18 @@ def test_large_lexicon_gives_the_same(spark, monkeypatch):
     many = _score(spark, docs)
     assert "posexplode" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, many.collect())) == few
+
+
+def test_rows_are_copied_once_between_the_steps(spark):
+    p = _score(spark, _docs(spark, 10))._jdf.queryExecution().executedPlan().toString()
+    assert p.count("transform(array(base") == 1 and "\\s" not in p
+
+
+def test_words_with_and_without_outer_marks(spark):
+    """Words are cut and stripped as Python does it, with any white space between them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aB9é'.,(! \t\n\x0b\x1f\u3000") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in docs.select("text", S._words(F.col("text")).alias("words")).collect():
+        bare = [(t, t.strip(string.punctuation)) for t in r.text.split()]
+        assert r.words == [t if len(b) <= 2 else b for t, b in bare]
