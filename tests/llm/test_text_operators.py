@@ -223,6 +223,44 @@ def test_passages_are_found_with_their_places(spark, odd_docs, no_docs):
     assert {(r.doc_id, r.other_id) for r in passages.shared_passages(odd_docs).collect()} == {(7, 6)}
 
 
+@pytest.mark.parametrize("n_words, piece, changed", [(60, 10, 0), (50, 10, 0), (50, 40, 0), (80, 12, 1)])
+def test_passages_are_found_whose_pieces_stand_in_earlier_documents(spark, n_words, piece, changed):
+    """Every seed of a passage points to a document that has a few words of it."""
+    rng = np.random.default_rng(n_words + piece)
+    rows, want = [], {}
+    for k in range(0, 10_000, 1000):
+        words_ = shared(rng, n_words).split()
+        pieces = [" ".join(words_[i : i + piece]) for i in range(0, n_words - piece + 1, 5 if piece < 20 else 2)]
+        rows += [(k + i, f"{shared(rng, 9)} {x} {shared(rng, 9)}") for i, x in enumerate(pieces)]
+        first, second = list(words_), list(words_)
+        if changed:
+            second[n_words // 2] = "changed"
+        rows += [(k + 900, f"{shared(rng, 30)} {' '.join(first)} {shared(rng, 30)}"), (k + 901, f"{' '.join(second)} {shared(rng, 40)}")]
+        want[k + 901] = k + 900
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [r for r in passages.shared_passages(docs).collect() if want.get(r.doc_id) == r.other_id]
+    # A chain over changed words may end short of the passage's ends.
+    whole = [r for r in got if r.end - r.start >= (50 if changed else n_words)]
+    assert {r.doc_id for r in whole} == set(want) and (changed or all(r.start == 0 for r in whole))
+
+
+def test_equal_windows_are_covered(spark):
+    """Texts of pieces drawn from a few pools: every run of 50 words that an earlier document has is covered by passages, but for its ends."""
+    rng = np.random.default_rng(5)
+    pool = [shared(rng, int(n)).split() for n in rng.integers(8, 70, 40)]
+    texts = [[w for i in rng.integers(len(pool), size=6) for w in pool[i][int(rng.integers(5)) :]] for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    covered = [np.zeros(len(x), dtype=bool) for x in texts]
+    for r in passages.shared_passages(docs).collect():
+        covered[r.doc_id][r.start : r.end] = True
+    seen, missed = set(), 0
+    for x, c in zip(texts, covered):
+        windows = [tuple(x[i : i + 50]) for i in range(len(x) - 49)]
+        missed += sum(w in seen and not c[i + 9 : i + 41].all() for i, w in enumerate(windows))
+        seen |= set(windows)
+    assert not missed
+
+
 @pytest.mark.parametrize("n_words, every, least", [(55, 20, 0.95), (55, 15, 0.95), (80, 12, 0.9), (200, 10, 0.95), (200, 8, 0.9)])
 def test_fuzzy_passages_are_found(spark, n_words, every, least):
     """Planted passages with one word in so many changed, and some with a word changed near an end; other texts share nothing."""
