@@ -1,11 +1,10 @@
 """How good topics are, measured on texts rather than on the fit: coherence and completion of documents."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import bind
-from corpuslens.operators.topics import TopicModel
+from corpuslens.operators.topics import TopicModel, topic_mixes
 from corpuslens.schemas import require_columns
 from corpuslens.sources.stages import shared_dir, write_stage
 
@@ -86,8 +85,7 @@ def completion(model: TopicModel, corpus: DataFrame) -> DataFrame:
     path = shared_dir(spark, "halves")
     write_stage(halves, path)
     halves = spark.read.parquet(path)
-    given = model.lda.transform(model.features.transform(halves.select("_doc", F.array_join("_h0", " ").alias("text"))))
-    shares = given.select("_doc", vector_to_array("topic_dist").alias("shares"))
+    shares = topic_mixes(model, halves.select("_doc", F.array_join("_h0", " ").alias("text")), "shares").select("_doc", "shares")
     matrix = model.lda.topicsMatrix().toArray()
     matrix = matrix / matrix.sum(axis=0)
     weights = spark.createDataFrame([(t, r.tolist()) for t, r in zip(model.terms, matrix)], "term string, weights array<double>")
