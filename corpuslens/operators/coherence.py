@@ -1,15 +1,21 @@
 """How good topics are, measured on texts rather than on the fit: coherence and completion of documents."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import bind
-from corpuslens.operators.topics import TopicModel, topic_mixes
+from corpuslens.operators.counting import Runs, listed, lowered, portions
+from corpuslens.operators.lda import mixes, numbers
+from corpuslens.operators.topics import TopicModel, dealt, term_weights
 from corpuslens.schemas import require_columns
 from corpuslens.sources.stages import shared_dir, write_stage
 
-#: Tokens that a word's company is looked for in.
-WINDOW = 10
+#: Tokens that a word's company is looked for in; terms of documents that are judged together.
+WINDOW, JUDGED = 10, 1 << 16
 
 
 def _windows(tokens: Column, terms: list[str], size: int) -> Column:
@@ -74,23 +80,31 @@ def completion(model: TopicModel, corpus: DataFrame) -> DataFrame:
     """One row (log_likelihood, tokens, per_token): the words at odd places, given the topics of those at even places.
 
     Shares are inferred from one half of a document and judged by the other, so learning texts by
-    heart does not help. Words outside the vocabulary are not judged.
+    heart does not help. Words outside the vocabulary are not judged. Both halves stay in their task.
     """
     require_columns(corpus, "text")
-    spark = corpus.sparkSession
-    tokens = F.split(F.lower("text"), "[^a-z]+")
-    halves = corpus.select(F.monotonically_increasing_id().alias("_doc"), tokens.alias("_t"))
-    even, odd = F.filter("_t", lambda w, i: i % 2 == 0), F.filter("_t", lambda w, i: i % 2 == 1)
-    halves = halves.select("_doc", even.alias("_h0"), odd.alias("_h1"))
-    path = shared_dir(spark, "halves")
-    write_stage(halves, path)
-    halves = spark.read.parquet(path)
-    shares = topic_mixes(model, halves.select("_doc", F.array_join("_h0", " ").alias("text")), "shares").select("_doc", "shares")
-    matrix = model.lda.topicsMatrix().toArray()
-    matrix = matrix / matrix.sum(axis=0)
-    weights = spark.createDataFrame([(t, r.tolist()) for t, r in zip(model.terms, matrix)], "term string, weights array<double>")
-    judged = halves.select("_doc", F.explode("_h1").alias("term")).groupBy("_doc", "term").agg(F.count(F.lit(1)).alias("n"))
-    joined = judged.join(weights, "term").join(shares, "_doc")
-    p = F.aggregate(F.zip_with("shares", "weights", lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x)
-    total = joined.agg(F.sum(F.col("n") * F.log(p)).alias("log_likelihood"), F.sum("n").alias("tokens"))
+    lda = model.lda.toLocal() if model.lda.isDistributed() else model.lda
+    matrix = lda.topicsMatrix().toArray()
+    asked = (model.terms, term_weights(model.features), numbers(lda), matrix / matrix.sum(axis=0))
+    shared = corpus.sparkSession.sparkContext.broadcast(asked)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights, of, matrix = shared.value
+        known = pa.array(terms, pa.large_string())
+        for texts in (part for batch in batches for part in portions(batch.column(0))):
+            runs = Runs(texts)
+            odd = runs.place() % 2 == 1
+            at, ids, n = runs.chosen(~odd).tokens().counts(known)
+            shares = mixes(listed(at, ids, pa.int32()), listed(at, n * weights[ids], pa.float64()), of)
+            at, ids, n = runs.chosen(odd).tokens().counts(known)
+            docs, total = np.repeat(np.arange(len(texts)), np.diff(at)), []
+            for i in range(0, len(ids), JUDGED):
+                p = np.einsum("dk,dk->d", shares[docs[i : i + JUDGED]], matrix[ids[i : i + JUDGED]])
+                # Words of a document whose other half has no term are counted, but have no likelihood.
+                total.append((n[i : i + JUDGED][p > 0] * np.log(p[p > 0])).sum() if (p > 0).any() else None)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), pa.array([int(n.sum())] + [0] * (len(total) - 1), pa.int64())], ["log_likelihood", "tokens"])
+
+    parts = dealt(corpus.select(lowered("text").alias("text"))).mapInArrow(judge, "log_likelihood double, tokens bigint")
+    total = parts.agg(F.sum("log_likelihood").alias("log_likelihood"), F.sum("tokens").alias("tokens"))
     return total.withColumn("per_token", F.col("log_likelihood") / F.col("tokens"))

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import alignment as A
 from corpuslens.operators import coherence as C
 from corpuslens.operators import topics as M
+from plans import plan
 
 
 def brute(docs, terms, size):
@@ -70,3 +72,32 @@ def test_windows_hold_places_of_terms(spark):
     rows = spark.createDataFrame([(["a", "x", "b", "a"],), (["x", "y", "z"],)], "tokens array<string>")
     got = [r[0] for r in rows.select(C._windows(F.col("tokens"), ["a", "b"], 2)).collect()]
     assert got == [[[0], [1], [0, 1]], []]
+
+
+def test_completion_as_by_brute_force_and_without_a_shuffle_of_words(spark, monkeypatch):
+    corpus = themes(spark, 60, 3)
+    odd = ["", "--", "redworda", " redworda bluewordb", "a redworda b bluewordb, redwordc'x", "12 redworda redwordb ÄÖ greenwordc greenwordd"]
+    held = themes(spark, 20, 4).collect() + [(t,) for t in odd] + [(None,)]
+    rows = spark.createDataFrame([tuple(r) for r in held], "text string").repartition(3)
+    monkeypatch.setattr(C, "JUDGED", 7)
+    for optimizer in ("online", "em"):
+        model = M.fit_topics(corpus, k=3, max_iter=10, min_df=1, optimizer=optimizer)
+        matrix = model.lda.topicsMatrix().toArray()
+        matrix, places = matrix / matrix.sum(axis=0), {t: i for i, t in enumerate(model.terms)}
+        pieces = [re.split("[^a-z]+", (r[0] or "").lower()) for r in held]
+        halves = spark.createDataFrame([(i, " ".join(p[::2])) for i, p in enumerate(pieces)], "i int, text string")
+        shares = {r.i: r.mix for r in M.shares(model.lda, model.features.transform(halves), "mix").select("i", "mix").collect()}
+        total, tokens = 0.0, 0
+        for i, p in enumerate(pieces):
+            for w in p[1::2]:
+                if w in places:
+                    q = sum(a * b for a, b in zip(shares[i], matrix[places[w]]))
+                    tokens, total = tokens + 1, total + (math.log(q) if q > 0 else 0.0)
+        got = C.completion(model, rows)
+        assert "Join" not in plan(got)
+        got = got.first()
+        assert got.tokens == tokens and got.log_likelihood == pytest.approx(total, rel=1e-3)
+        assert got.per_token == got.log_likelihood / got.tokens
+        assert tuple(C.completion(model, rows.limit(0)).first()) == (None, None, None)
+        alone = C.completion(model, spark.createDataFrame([("12 redworda",)], "text string")).first()
+        assert tuple(alone) == (None, 1, None)
