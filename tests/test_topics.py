@@ -120,3 +120,14 @@ def test_the_fit_deals_its_rows_to_all_cores(spark, monkeypatch):
     monkeypatch.setattr(M.LDA, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()))
     M.fit_topics(docs, k=2, max_iter=1, min_df=1)
     assert seen == [M.TASKS_PER_CORE * spark.sparkContext.defaultParallelism]
+
+
+def test_counts_of_named_terms(spark, corpus):
+    odd = spark.createDataFrame([("u1", ""), ("u2", "tax tax xtax the rain"), ("u3", None)], "url string, text string")
+    tokens = TM.tokens(corpus.select("url", "text").unionByName(odd))
+    names = ["tax", "rain", "absent", "tax"]
+    want = Counter((r.term, r.tf) for r in TM.term_counts(tokens, "url").filter(F.col("term").isin(names)).collect())
+    assert Counter((r.term, r.tf) for r in TM.named_counts(tokens, names).collect()) == want
+    assert TM.named_counts(tokens, []).count() == 0
+    # Other words become no rows.
+    assert "sort_array" not in plan(TM.named_counts(tokens, names))
