@@ -131,3 +131,12 @@ def test_counts_of_named_terms(spark, corpus):
     assert TM.named_counts(tokens, []).count() == 0
     # Other words become no rows.
     assert "sort_array" not in plan(TM.named_counts(tokens, names))
+
+
+def test_expectation_maximisation_reads_texts_once_for_its_vectors(corpus, monkeypatch):
+    seen = []
+    monkeypatch.setattr(M.LDA, "fit", lambda self, rows: seen.append((rows.columns, rows.storageLevel.useMemory)))
+    M.fit_topics(corpus, k=2, max_iter=1, min_df=2, optimizer="em")
+    M.fit_topics(corpus, k=2, max_iter=1, min_df=2)
+    # The online fit stores its own rows, as bytes.
+    assert seen == [(["features"], True), (["ids", "counts"], False)]
